@@ -1,10 +1,14 @@
 """The registered queries of this subpackage, their SQL where SQL can express them, and the columns of their contracts."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .grammar import encode_to_shards, read_shards
 from .line_dedup import drop_repeated_lines
 from .media import read_back, sniff_media, texts_to_media
+from .packing import pack_documents
+from .quality import score, train
 from .secrets import BASE, scan_secrets
 from .substring_dedup import drop_repeated_windows
 from .url_filter import RULES, judge_urls
@@ -18,6 +22,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    out = pack_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), 1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as WAV files, whose declared type is left to the sniffer; the payload is what the files' samples hold."""
     media = texts_to_media(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media")
@@ -36,6 +45,16 @@ def op5_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    shards = encode_to_shards(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), 0)
+    return read_shards(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(documents, train(documents, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -53,7 +72,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), F.sha2(listed(F.filter("spans", lambda x: x.kind.isin(*BASE))), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op5_media_sniffing, op8_line_dedup, op9_substring_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_packing, op5_media_sniffing, op6_token_ids, op7_quality, op8_line_dedup, op9_substring_dedup, op10_secret_scan)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
