@@ -126,5 +126,5 @@ def ask(table: DataFrame, send: Callable[[Block], Iterator[pa.RecordBatch]], ans
 def with_answers(table: DataFrame, **told: DataFrame) -> DataFrame:
     """The blocks with the columns told_..., each from `ask`."""
     for name, replies in told.items():
-        table = table.join(replies.withColumnRenamed("told", f"told_{name}"), "block", "left")
+        table = table.join(replies.withColumnRenamed("told", f"told_{name}").hint("merge"), "block", "left")  # the same plan at every size
     return table
