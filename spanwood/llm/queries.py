@@ -4,9 +4,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
 from .grammar import encode_to_shards, read_shards
 from .line_dedup import drop_repeated_lines
 from .media import read_back, sniff_media, texts_to_media
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import score, train
 from .secrets import BASE, scan_secrets
@@ -22,11 +24,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each item that a document holds."""
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", "x.score", "x.question", "x.answer")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     out = pack_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), 1)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as WAV files, whose declared type is left to the sniffer; the payload is what the files' samples hold."""
     media = texts_to_media(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media")
@@ -72,7 +84,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), F.sha2(listed(F.filter("spans", lambda x: x.kind.isin(*BASE))), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_packing, op5_media_sniffing, op6_token_ids, op7_quality, op8_line_dedup, op9_substring_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_packing, op4_near_duplicates, op5_media_sniffing, op6_token_ids, op7_quality, op8_line_dedup, op9_substring_dedup, op10_secret_scan)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

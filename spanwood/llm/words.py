@@ -58,13 +58,13 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8), offsets - offsets[0]
 
 
-def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spans(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of all words; a text's end ends a word."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ink = np.zeros(n + 2, bool)
-    np.logical_not(SPACE[buf], out=ink[1:-1])
+    np.logical_not(space[buf], out=ink[1:-1])
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     inner = ink[1:-1]
