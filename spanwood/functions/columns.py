@@ -13,6 +13,10 @@ from ..types import TYPES
 from . import codec
 
 
+def _whole(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(38,0)")
+
+
 def unsigned(data: Column) -> Column:
     """Up to eight big-endian bytes as decimal(20,0)."""
     return F.conv(F.hex(data), 16, 10).cast("decimal(20,0)")
@@ -21,7 +25,7 @@ def unsigned(data: Column) -> Column:
 def signed(data: Column, width: int) -> Column:
     """A two's complement number of that many bytes as bigint."""
     u = unsigned(data).cast("decimal(38,0)")
-    return F.when(u >= F.lit(2 ** (8 * width - 1)).cast("decimal(38,0)"), u - F.lit(2 ** (8 * width)).cast("decimal(38,0)")).otherwise(u).cast("bigint")
+    return F.when(u >= _whole(2 ** (8 * width - 1)), u - _whole(2 ** (8 * width))).otherwise(u).cast("bigint")
 
 
 def float_of(data: Column, width: int) -> Column:
@@ -49,7 +53,7 @@ def fixed_text(data: Column, width: int, is_signed: bool) -> Column:
         return F.bround(n.cast("decimal(21,0)") * F.lit("0.0000152587890625").cast("decimal(16,16)"), 4).cast("decimal(20,4)").cast("string")
     n = signed(data, 8).cast("decimal(20,0)") if is_signed else unsigned(data)
     size = F.abs(n).cast("decimal(38,0)")
-    unit = F.lit(1 << 32).cast("decimal(38,0)")
+    unit = _whole(1 << 32)
     part = F.pmod(size, unit)
     whole = ((size - part) / unit).cast("decimal(20,0)").cast("string")
     digits = F.format_string("%09d", F.rint(part.cast("double") / 4294967296.0 * 1e9).cast("bigint"))
@@ -88,8 +92,8 @@ def four_chars(data: Column) -> Column:
 def big_endian(n: Column, width: int) -> Column:
     """An integer's bytes, two's complement; an error outside the range."""
     whole = n.cast("decimal(38,0)")
-    wrapped = F.pmod(whole, F.lit(1 << 8 * width).cast("decimal(38,0)"))
-    fits = (whole >= F.lit(-(1 << 8 * width - 1)).cast("decimal(38,0)")) & (whole < F.lit(1 << 8 * width).cast("decimal(38,0)"))
+    wrapped = F.pmod(whole, _whole(1 << 8 * width))
+    fits = (whole >= _whole(-(1 << 8 * width - 1))) & (whole < _whole(1 << 8 * width))
     return F.when(fits, F.unhex(F.lpad(F.conv(wrapped.cast("decimal(20,0)").cast("string"), 10, 16), 2 * width, "0"))).otherwise(
         F.raise_error(F.concat(F.lit(f"value exceeds range of {8 * width} bits: "), whole.cast("string")))
     )

@@ -154,7 +154,7 @@ class _Plan:
         """A value in a comparison; a bare word is the first child of that name, or else a string."""
         match e:
             case Literal("s", value):
-                return V.Val({"s": F.lit(value)})
+                return V.Val({"s": V.text(value)})
             case Literal("word", value):
                 c = F.col(self.children[value])
                 return V.Val({"u": c.u, "i": c.i, "f": c.f, "s": F.when(c.isNull(), value).otherwise(c.s)}, F.coalesce(c.k, F.lit("s")))

@@ -5,11 +5,14 @@ it may have and, where these are several, a column that tells which; an operatio
 that can meet, and one expression where both are known.
 """
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.codec import integer
+
 BIG = 1 << 64
 
 
@@ -50,6 +53,21 @@ def double(kind: str, c: Column) -> Column:
 
 # ---- strings as numbers
 
+
+def text(value: str) -> Column:
+    """A string literal that keeps its Python value, so that what it is as a number is settled while the plan is made."""
+    out = F.lit(value)
+    out.__dict__["plain"] = value
+    return out
+
+
+def _settled(s: Column, kind: str, parse: Callable[[str], object]) -> Column | None:
+    if "plain" not in s.__dict__:
+        return None
+    value = parse(s.__dict__["plain"])
+    return F.lit(None if value is None else str(value)).cast(kind)
+
+
 _FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _SPECIAL = r"(?i)^[+-]?(inf|infinity|nan)$"
 _BASED = r"^[+-]?(0[xX](_?[0-9a-fA-F])+|0[bB](_?[01])+|0[oO]?(_?[0-7])+|0|[1-9](_?[0-9])*)$"
@@ -57,12 +75,25 @@ _BASED = r"^[+-]?(0[xX](_?[0-9a-fA-F])+|0[bB](_?[01])+|0[oO]?(_?[0-7])+|0|[1-9](
 
 def float_of(s: Column) -> Column:
     """The number that a string writes, or null."""
+    known = _settled(s, "double", lambda x: x if re.match(_FLOAT, x) else float(x) if re.match(_SPECIAL, x) else None)
+    if known is not None:
+        return known
     special = F.when(F.lower(s).contains("nan"), F.lit(float("nan"))).when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
     return F.when(s.rlike(_FLOAT), s.try_cast("double")).when(s.rlike(_SPECIAL), special)
 
 
 def whole_of(s: Column, least: int, most: int, based: bool = True) -> Column:
     """The integer that a string writes, with base prefixes if based, as decimal; or null."""
+
+    def parse(x: str):
+        if not re.match(_BASED if based else r"^[0-9]+$", x) or least == 0 and x[0] in "+-":
+            return None
+        n = integer(x) if based else int(x)
+        return n if least <= n <= most else None
+
+    known = _settled(s, "decimal(38,0)", parse)
+    if known is not None:
+        return known
     bare = F.regexp_replace(F.regexp_replace(s, "^[+-]", ""), "_", "")
     size = F.when(bare.rlike("^0[xX]"), _from_base(bare, "^0[xX]", 16, 16)).when(bare.rlike("^0[bB]"), _from_base(bare, "^0[bB]", 2, 64)).when(bare.rlike("^0.") & F.lit(based), _from_base(bare, "^0[oO]?", 8, 21)).otherwise(bare.try_cast("decimal(38,0)"))
     n = F.when(s.startswith("-"), -size).otherwise(size)
