@@ -13,8 +13,8 @@ from .types import DOCUMENT
 class Forest:
     """Documents of nodes. Every operator works within a document, so a table partitioned by doc_id needs no shuffle."""
 
-    def __init__(self, nodes: DataFrame):
-        self.nodes = nodes
+    def __init__(self, nodes: DataFrame, kinds: dict[str, set[str]] | None = None):
+        self.nodes, self.kinds = nodes, kinds or {}
 
     @classmethod
     def read(cls, spark: SparkSession, path: str | list[str], form: str = "auto", **options) -> "Forest":
@@ -26,11 +26,11 @@ class Forest:
 
     @classmethod
     def of_table(cls, name: str, table: DataFrame, key, fields: list[tables.Field], rows: tables.Rows | None = None) -> "Forest":
-        return cls(tables.tree_of(name, table, key, fields, rows))
+        return cls(tables.tree_of(name, table, key, fields, rows), tables.kinds_of(name, fields, rows))
 
     def path(self, path: str, strict_less: bool = False) -> DataFrame:
         """The nodes that a path finds, with their order in `seq`."""
-        return select(self.nodes, path, strict_less)
+        return select(self.nodes, path, strict_less, self.kinds)
 
     def ordered(self, path: str) -> DataFrame:
         return self.path(path).orderBy(*DOCUMENT, "seq")

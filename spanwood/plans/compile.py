@@ -17,14 +17,18 @@ COLUMNS = NODES.fieldNames()
 _KIND_COLUMNS = ("u", "i", "f", "s")
 
 
-def select(nodes: DataFrame, path: str, strict_less: bool = False) -> DataFrame:
-    """The nodes that a path finds, with `seq`. Order by DOCUMENT and seq to have them in order."""
-    return _Plan(nodes, path, strict_less).of(parse(path))
+def select(nodes: DataFrame, path: str, strict_less: bool = False, kinds: dict[str, set[str]] | None = None) -> DataFrame:
+    """The nodes that a path finds, with `seq`. Order by DOCUMENT and seq to have them in order.
+
+    kinds: for names whose nodes' kinds of value are known, those kinds; the coercions of others aren't planned.
+    """
+    return _Plan(nodes, path, strict_less, kinds or {}).of(parse(path))
 
 
 class _Plan:
-    def __init__(self, nodes: DataFrame, path: str, strict_less: bool):
-        self.nodes, self.path, self.strict_less = nodes, path, strict_less
+    def __init__(self, nodes: DataFrame, path: str, strict_less: bool, kinds: dict[str, set[str]]):
+        self.nodes, self.path, self.strict_less, self.kinds = nodes, path, strict_less, kinds
+        self.own = set("uifs")  # kinds that @data may have in the predicate at hand
 
     def of(self, tree) -> DataFrame:
         match tree:
@@ -38,7 +42,7 @@ class _Plan:
                     return self._first(self._by_path(chain))
                 return self._children(self.of(tree.left), tree.name)
             case Filter(left, expr):
-                return self._filter(self.of(left), expr)
+                return self._filter(self.of(left), expr, left)
             case Merge("union", left, right):  # the right operand's nodes come first
                 a, b = (self.of(x).withColumn("seq", F.concat(F.array(F.lit(i).cast("long")), "seq")) for i, x in ((0, right), (1, left)))
                 return a.unionByName(b)
@@ -79,7 +83,7 @@ class _Plan:
 
     # predicates
 
-    def _filter(self, df: DataFrame, expr) -> DataFrame:
+    def _filter(self, df: DataFrame, expr, left) -> DataFrame:
         names = sorted(_words(expr))
         if names:
             df = self._with_children(df, names)
@@ -89,8 +93,21 @@ class _Plan:
             df = df.withColumn("at_", F.row_number().over(whole.orderBy("seq")).cast("decimal(20,0)"))
         if counts & {"last", "count"}:
             df = df.withColumn("of_", F.count("*").over(whole).cast("decimal(20,0)"))
+        self.own = self._kinds_of(left)
         return df.where(self._top(expr)).select(*COLUMNS, "seq")
 
+    def _kinds_of(self, tree) -> set[str]:
+        match tree:
+            case Step(_, _, name) if name != "*":
+                return self.kinds.get(name, set("uifs"))
+            case Filter(left):
+                return self._kinds_of(left)
+            case Merge("union", left, right):
+                return self._kinds_of(left) | self._kinds_of(right)
+            case Merge(_, left):
+                return self._kinds_of(left)
+        return set("uifs")
+
     def _with_children(self, df: DataFrame, names: list[str]) -> DataFrame:
         """The first child of each name as struct columns c_0, c_1, ..."""
         own = self.nodes.where(F.col("name").isin(names)).select(*DOCUMENT, F.col("parent_id").alias("of_parent"), "name", "child_ord", F.struct(kind_of(F.col("type")).alias("k"), *_KIND_COLUMNS).alias("v"))
@@ -156,8 +173,7 @@ class _Plan:
             case Literal("s", value):
                 return V.Val({"s": V.text(value)})
             case Literal("word", value):
-                c = F.col(self.children[value])
-                return V.Val({"u": c.u, "i": c.i, "f": c.f, "s": F.when(c.isNull(), value).otherwise(c.s)}, F.coalesce(c.k, F.lit("s")))
+                return self._child(value, V.text(value))
             case Literal("b", value):
                 return V.Val({"b": F.lit(value)})
             case Not() | Binary("=" | "!="):
@@ -170,9 +186,15 @@ class _Plan:
                 return V.Val({"s": F.format_string("0x%08X", "name_u32")})
             case Attribute("type"):
                 return V.Val({"s": F.col("type")})
-        return self._number(e, False)
+        return self._number(e)
+
+    def _child(self, name: str, missing: Column) -> V.Val:
+        c, kinds = F.col(self.children[name]), self.kinds.get(name, set("uifs"))
+        columns = {k: c[k] for k in "uif" if k in kinds}
+        columns["s"] = F.when(c.isNull(), missing).otherwise(c["s"]) if "s" in kinds else missing
+        return V.Val(columns, F.coalesce(c["k"], F.lit("s")))
 
-    def _number(self, e, strict: bool = True) -> V.Val:
+    def _number(self, e) -> V.Val:
         """A value in arithmetic."""
         match e:
             case Fault(message):
@@ -185,13 +207,14 @@ class _Plan:
                 return V.Val({"u": F.col("at_" if name == "position" else "of_")})
             case Attribute("data"):
                 kinds = {"u": F.col("u"), "i": F.col("i"), "f": F.col("f"), "s": F.col("s")}
-                return V.Val(kinds, kind_of(F.col("type")))
+                return V.Val({k: c for k, c in kinds.items() if k in self.own}, kind_of(F.col("type")))
             case Binary(op, left, right) if op in ARITHMETIC:
                 return V.arithmetic(op, self._number(left), self._number(right))
             case Literal("word", value):
-                c = F.col(self.children[value])
                 bad = self._fault(f"expect number, got {value}", "string")
-                return V.Val({"u": c.u, "i": c.i, "f": c.f, "s": bad}, F.coalesce(c.k, F.lit("s")))
+                out = self._child(value, bad)
+                out.columns["s"] = bad
+                return out
             case Literal() | Attribute():
                 return V.Val({"i": self._fault("expected numeric value", "bigint")})
         return V.Val({"i": self._fault(f"expect number, got {getattr(e, 'op', 'not')}", "bigint")})

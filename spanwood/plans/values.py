@@ -94,16 +94,18 @@ def whole_of(s: Column, least: int, most: int, based: bool = True) -> Column:
     known = _settled(s, "decimal(38,0)", parse)
     if known is not None:
         return known
-    bare = F.regexp_replace(F.regexp_replace(s, "^[+-]", ""), "_", "")
-    size = F.when(bare.rlike("^0[xX]"), _from_base(bare, "^0[xX]", 16, 16)).when(bare.rlike("^0[bB]"), _from_base(bare, "^0[bB]", 2, 64)).when(bare.rlike("^0.") & F.lit(based), _from_base(bare, "^0[oO]?", 8, 21)).otherwise(bare.try_cast("decimal(38,0)"))
-    n = F.when(s.startswith("-"), -size).otherwise(size)
-    signs = r"^[+-]" if least == 0 else r"^$"
-    return F.when(s.rlike(_BASED if based else r"^[0-9]+$") & ~s.rlike(signs) & (n >= dec(least)) & (n <= dec(most)), n)
+    def part(pattern: str, base: int) -> Column:
+        digits = F.nullif(F.regexp_extract(s, pattern, 2), F.lit(""))
+        return digits.try_cast("decimal(38,0)") if base == 10 else F.conv(digits, base, 10).try_cast("decimal(38,0)")
 
-
-def _from_base(s: Column, prefix: str, base: int, digits: int) -> Column:
-    rest = F.regexp_replace(F.regexp_replace(s, prefix, ""), "^0+(?=.)", "")
-    return F.when(F.length(rest) <= digits, F.conv(rest, base, 10).cast("decimal(38,0)"))
+    sign = "()" if least == 0 else "([+-]?)"
+    if not based:
+        n = part("^()([0-9]{1,38})$", 10)
+    else:  # an underscore between digits is rare enough to be left to those who write it as a literal
+        n = F.coalesce(part(f"^{sign}(0|[1-9][0-9]{{0,37}})$", 10), part(f"^{sign}0[xX]0*([0-9a-fA-F]{{1,16}})$", 16), part(f"^{sign}0[oO]?0*([0-7]{{1,21}})$", 8), part(f"^{sign}0[bB]0*([01]{{1,64}})$", 2))
+    if least < 0:
+        n = F.when(s.startswith("-"), -n).otherwise(n)
+    return F.when(n.between(dec(least), dec(most)), n)
 
 
 def unsigned_of(s: Column, based: bool = True) -> Column:
@@ -193,9 +195,11 @@ def ordered(l: Val, r: Val, less: bool, strict_strings: bool = False) -> Column:
                 n = lc.cast("decimal(38,0)")
                 return F.coalesce(floats(lc.cast("double"), float_of(rc)), test(n, unsigned_of(rc, False)), test(n, signed_of(rc)), no)
             case "sf" | "su" | "si" | "ss":
-                x, u, i = float_of(lc), unsigned_of(lc), signed_of(lc)
-                text = no if rk != "s" else test(lc, rc) if strict_strings else lc > rc
-                return F.when(x.isNotNull(), make("f", x, rk, rc)).when(u.isNotNull(), make("u", u.cast("decimal(20,0)"), rk, rc)).when(i.isNotNull(), make("i", i.cast("bigint"), rk, rc)).otherwise(text)
+                known = [("f", float_of(lc)), ("u", unsigned_of(lc).cast("decimal(20,0)")), ("i", signed_of(lc).cast("bigint"))]
+                text_ = no if rk != "s" else test(lc, rc) if strict_strings else lc > rc
+                if rk == "s":  # a string that writes a number meets another string as that number
+                    return F.when(known[0][1].isNotNull(), no).when(known[1][1].isNotNull(), make("u", known[1][1], rk, rc)).when(known[2][1].isNotNull(), make("i", known[2][1], rk, rc)).otherwise(text_)
+                return F.coalesce(*(make(k, c, rk, rc) for k, c in known), text_)
         return no
 
     return both(l, r, make)

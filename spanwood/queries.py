@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .api import Forest
 from .functions import columns as C
 from .sources.files import parse_column
-from .sources.tables import Field, Rows, tree_of
+from .sources.tables import Field, Rows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,22 +21,22 @@ def orders(spark: SparkSession, sf_dir: str) -> Forest:
     line = _fields("LNUM:UI32:l_linenumber PKEY:SI64:l_partkey SKEY:SI64:l_suppkey QTY_:FP64:l_quantity EXPR:FP64:l_extendedprice DISC:FP64:l_discount TAX_:FP64:l_tax RFLG:CSTR:l_returnflag LSTA:CSTR:l_linestatus")
     rows = Rows("LINE", _table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], line)
     top = _fields("OKEY:SI64:o_orderkey CKEY:SI64:o_custkey STAT:CSTR:o_orderstatus OPRI:CSTR:o_orderpriority TOTL:FP64:o_totalprice")
-    return Forest(tree_of("ORDR", _table(spark, sf_dir, "orders"), F.col("o_orderkey"), top, rows))
+    return Forest.of_table("ORDR", _table(spark, sf_dir, "orders"), F.col("o_orderkey"), top, rows)
 
 
 def users(spark: SparkSession, sf_dir: str) -> Forest:
     events = _table(spark, sf_dir, "events")
     rows = Rows("EVNT", events, F.col("user_id"), ["event_id"], _fields("EVID:UI64:event_id ETYP:CSTR:event_type VALU:FP64:value PROP:CSTR:props"))
-    return Forest(tree_of("USER", events.select("user_id").distinct(), F.col("user_id"), [], rows))
+    return Forest.of_table("USER", events.select("user_id").distinct(), F.col("user_id"), [], rows)
 
 
 def regions(spark: SparkSession, sf_dir: str) -> Forest:
     rows = Rows("NATN", _table(spark, sf_dir, "nation"), F.col("n_regionkey"), ["n_nationkey"], _fields("NKEY:UI32:n_nationkey NNAM:CSTR:n_name"))
-    return Forest(tree_of("REGN", _table(spark, sf_dir, "region"), F.col("r_regionkey"), _fields("RKEY:UI32:r_regionkey RNAM:CSTR:r_name"), rows))
+    return Forest.of_table("REGN", _table(spark, sf_dir, "region"), F.col("r_regionkey"), _fields("RKEY:UI32:r_regionkey RNAM:CSTR:r_name"), rows)
 
 
 def parts(spark: SparkSession, sf_dir: str) -> Forest:
-    return Forest(tree_of("PART", _table(spark, sf_dir, "part"), F.col("p_partkey"), _fields("PKEY:SI64:p_partkey PNAM:CSTR:p_name BRND:CSTR:p_brand PTYP:CSTR:p_type SIZE:UI32:p_size RETL:FP64:p_retailprice")))
+    return Forest.of_table("PART", _table(spark, sf_dir, "part"), F.col("p_partkey"), _fields("PKEY:SI64:p_partkey PNAM:CSTR:p_name BRND:CSTR:p_brand PTYP:CSTR:p_type SIZE:UI32:p_size RETL:FP64:p_retailprice"))
 
 
 ID = F.col("doc_id").cast("bigint").alias("id")
@@ -158,18 +158,18 @@ _PART_BINARY = " || ".join(
     + [f"printf('%08X', 13 + strlen({c})) || '{n.encode().hex().upper()}43535452' || upper(hex(encode({c}))) || '00'" for n, c in (("PNAM", "p_name"), ("BRND", "p_brand"), ("PTYP", "p_type"))]
     + ["'0000001053495A4555493332' || printf('%08X', p_size)"]
 ).replace("{total}", "12 + 20 + 39 + strlen(p_name) + strlen(p_brand) + strlen(p_type) + 16")
-_small_part = lambda spark, d: Forest(tree_of("PART", _table(spark, d, "part"), F.col("p_partkey"), _fields("PKEY:SI64:p_partkey PNAM:CSTR:p_name BRND:CSTR:p_brand PTYP:CSTR:p_type SIZE:UI32:p_size")))
+_small_part = lambda spark, d: Forest.of_table("PART", _table(spark, d, "part"), F.col("p_partkey"), _fields("PKEY:SI64:p_partkey PNAM:CSTR:p_name BRND:CSTR:p_brand PTYP:CSTR:p_type SIZE:UI32:p_size"))
 _add("marshal_binary", f"SELECT p_partkey AS id, {_PART_BINARY} AS body FROM part", lambda spark, d: _small_part(spark, d).to_binary().select(ID, F.hex("body").alias("body")))
 _add("marshal_hex", f"SELECT p_partkey AS id, '0x' || {_PART_BINARY} AS body FROM part", lambda spark, d: _small_part(spark, d).to_hex().select(ID, "body"))
 _add(
     "marshal_xml",
     """SELECT r_regionkey AS id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<containerxml version="1">' || chr(10) || chr(9) || '<container name="REGN">' || chr(10) || chr(9) || chr(9) || '<atom name="RKEY" type="UI32" value="' || r_regionkey || '"></atom>' || chr(10) || chr(9) || chr(9) || '<atom name="RNAM" type="CSTR" value="' || r_name || '"></atom>' || chr(10) || chr(9) || '</container>' || chr(10) || '</containerxml>' || chr(10) AS body FROM region""",
-    lambda spark, d: Forest(tree_of("REGN", _table(spark, d, "region"), F.col("r_regionkey"), _fields("RKEY:UI32:r_regionkey RNAM:CSTR:r_name"))).to_xml().select(ID, "body"),
+    lambda spark, d: Forest.of_table("REGN", _table(spark, d, "region"), F.col("r_regionkey"), _fields("RKEY:UI32:r_regionkey RNAM:CSTR:r_name")).to_xml().select(ID, "body"),
 )
 _add(
     "debug_listing",
     "SELECT r_regionkey AS id, rpad('REGN:CONT:', w, ' ') || chr(10) || rpad('RKEY:UI32:' || r_regionkey, w, ' ') || printf('00 00 00 %02x', r_regionkey) || chr(10) AS body FROM (SELECT *, CAST(11 + strlen(r_regionkey::VARCHAR) AS INTEGER) AS w FROM region)",
-    lambda spark, d: Forest(tree_of("REGN", _table(spark, d, "region"), F.col("r_regionkey"), _fields("RKEY:UI32:r_regionkey"))).to_debug().select(ID, "body"),
+    lambda spark, d: Forest.of_table("REGN", _table(spark, d, "region"), F.col("r_regionkey"), _fields("RKEY:UI32:r_regionkey")).to_debug().select(ID, "body"),
 )
 
 

@@ -99,3 +99,13 @@ def tree_of(name: str, table: DataFrame, key: Column, fields: list[Field], rows:
         for i, f in enumerate(rows.fields):
             parts.append(_node(own, f.name, f.type, f.value, first + (i + 1), first, F.lit(i), [name, rows.name, f.name], first + (i + 1), leaf))
     return reduce(DataFrame.unionAll, parts)
+
+
+def kinds_of(name: str, fields: list[Field], rows: Rows | None = None) -> dict[str, set[str]]:
+    """The kinds of value of every name in such a tree."""
+    out: dict[str, set[str]] = {name: {"s"}}
+    if rows:
+        out.setdefault(rows.name, set()).add("s")
+    for f in [*fields, *(rows.fields if rows else [])]:
+        out.setdefault(f.name, set()).add(TYPES[f.type].kind)
+    return out
