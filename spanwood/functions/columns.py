@@ -7,6 +7,7 @@ the exact decimal form of floats, UTF-32 and damaged UTF-8 use Arrow batches.
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..types import TYPES
@@ -108,35 +109,35 @@ def c_string_value(data: Column) -> Column:
     return F.decode(F.substring(data, F.lit(1), F.octet_length(data) - 1), "UTF-8")
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def encode_text(code: pd.Series, text: pd.Series) -> pd.Series:
     """Data of values written as in a text document."""
     return pd.Series([None if s is None else codec.encode_text(c, s) for c, s in zip(code, text)])
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def text_of(code: pd.Series, data: pd.Series) -> pd.Series:
     """The text form of any type's data."""
     return pd.Series([None if d is None else codec.decode(c, bytes(d)).text for c, d in zip(code, data)])
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def float_text(code: pd.Series, value: pd.Series) -> pd.Series:
     """Floats in the text form of their type, all digits exact."""
     return pd.Series([None if pd.isna(v) else codec.decode(c, codec.encode_value(c, float(v))).text for c, v in zip(code, value)])
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def float_data(code: pd.Series, value: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else codec.encode_value(c, float(v)) for c, v in zip(code, value)])
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def wide_string(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else x.encode("utf-32-be") for x in s])
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def wide_string_value(data: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else codec.decode("USTR", bytes(d)).s for d in data])
 
@@ -150,7 +151,7 @@ def escaped(s: Column) -> Column:
     return F.concat(F.lit('"'), F.when(s.rlike(rest), _escape_rest(s)).otherwise(out), F.lit('"'))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _escape_rest(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else codec.decode("CSTR", codec.encode_value("CSTR", x)).text[1:-1] for x in s])
 

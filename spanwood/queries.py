@@ -39,7 +39,7 @@ def parts(spark: SparkSession, sf_dir: str) -> Forest:
     return Forest.of_table("PART", _table(spark, sf_dir, "part"), F.col("p_partkey"), _fields("PKEY:SI64:p_partkey PNAM:CSTR:p_name BRND:CSTR:p_brand PTYP:CSTR:p_type SIZE:UI32:p_size RETL:FP64:p_retailprice"))
 
 
-ID = F.col("doc_id").cast("bigint").alias("id")
+ID = "CAST(doc_id AS BIGINT) AS id"
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,11 +53,11 @@ def _add(name: str, sql: str | None, make) -> None:
 
 def _path(name: str, forest, path: str, columns: list, sql: str) -> None:
     """A query that is one path and the columns to show of what it finds."""
-    _add(name, sql, lambda spark, sf_dir: forest(spark, sf_dir).path(path).select(*columns))
+    _add(name, sql, lambda spark, sf_dir: forest(spark, sf_dir).path(path).selectExpr(*columns))
 
 
-_NUMBER, _STRING, _LONG = F.col("f").alias("value"), F.col("s").alias("value"), F.col("i").alias("value")
-_TEXT_VALUE = F.coalesce(F.col("u").cast("string"), F.col("i").cast("string"), "s").alias("value")
+_NUMBER, _STRING, _LONG = "f AS value", "s AS value", "i AS value"
+_TEXT_VALUE = "coalesce(CAST(u AS STRING), CAST(i AS STRING), s) AS value"
 
 _path("root_alone", orders, "/", [ID, "name", "type"], "SELECT o_orderkey AS id, 'ORDR' AS name, 'CONT' AS type FROM orders")
 _path("root_test", orders, "/ORDR", [ID], "SELECT o_orderkey AS id FROM orders")
@@ -90,7 +90,7 @@ _EVENTS = "SELECT user_id AS id, event_id AS value FROM (SELECT *, row_number()
 def _events(name: str, path: str, where: str, source: str = _EVENTS) -> None:
     def make(spark, sf_dir):
         forest = users(spark, sf_dir)
-        return forest.children(forest.path(path)).where("name = 'EVID'").select(ID, F.col("u").cast("bigint").alias("value"))
+        return forest.children(forest.path(path)).where("name = 'EVID'").selectExpr(ID, "CAST(u AS BIGINT) AS value")
 
     _add(name, f"{source} WHERE {where}", make)
 
@@ -107,14 +107,14 @@ _path("type_test", parts, "/PART/*[@type = UI32]", [ID, "name"], "SELECT p_partk
 _path("type_function", parts, "/PART/*[type() = 'CSTR' and name() != 'PNAM']", [ID, "name"], "SELECT p_partkey AS id, unnest(['BRND', 'PTYP']) AS name FROM part")
 _path("name_hex", orders, '//*[@name_hex = "0x5154595F"]', [ID, _NUMBER], "SELECT l_orderkey AS id, l_quantity AS value FROM lineitem")
 _path("union_bag", orders, "//QTY_ | //TAX_", [ID, "name", _NUMBER], "SELECT l_orderkey AS id, 'QTY_' AS name, l_quantity AS value FROM lineitem UNION ALL SELECT l_orderkey, 'TAX_', l_tax FROM lineitem")
-_path("union_self", orders, "//LNUM union //LNUM", [ID, F.col("u").cast("bigint").alias("value")], "SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber FROM lineitem")
+_path("union_self", orders, "//LNUM union //LNUM", [ID, "CAST(u AS BIGINT) AS value"], "SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber FROM lineitem")
 _path("intersect_val", orders, "//RFLG intersect //*[data() = 'R']", [ID, _STRING], "SELECT l_orderkey AS id, l_returnflag AS value FROM lineitem WHERE l_returnflag = 'R'")
 _path("intersect_names", orders, "//LSTA intersect //RFLG", [ID], "SELECT l_orderkey AS id FROM lineitem WHERE false")
 
-_add("n_children", "SELECT o_orderkey AS id, 5 + count(l_orderkey) AS n_children FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey", lambda spark, d: orders(spark, d).path("/").select(ID, F.col("n_children").cast("bigint").alias("n_children")))
-_add("n_descendants", "SELECT o_orderkey AS id, 6 + 10 * count(l_orderkey) AS n_descendants FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey", lambda spark, d: orders(spark, d).path("/").select(ID, (F.col("last_desc") - F.col("node_id") + 1).alias("n_descendants")))
-_add("subtree_nodes", "SELECT n_regionkey AS id, unnest(['NATN', 'NKEY', 'NNAM']) AS name FROM nation", lambda spark, d: (lambda f: f.descendants(f.path("/REGN/NATN")).select(ID, "name"))(regions(spark, d)))
-_add("children_of", "SELECT p_partkey AS id, unnest(['PKEY', 'PNAM', 'BRND', 'PTYP', 'SIZE', 'RETL']) AS name FROM part", lambda spark, d: (lambda f: f.children(f.path("/")).select(ID, "name"))(parts(spark, d)))
+_add("n_children", "SELECT o_orderkey AS id, 5 + count(l_orderkey) AS n_children FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey", lambda spark, d: orders(spark, d).path("/").selectExpr(ID, "CAST(n_children AS BIGINT) AS n_children"))
+_add("n_descendants", "SELECT o_orderkey AS id, 6 + 10 * count(l_orderkey) AS n_descendants FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey", lambda spark, d: orders(spark, d).path("/").selectExpr(ID, "last_desc - node_id + 1 AS n_descendants"))
+_add("subtree_nodes", "SELECT n_regionkey AS id, unnest(['NATN', 'NKEY', 'NNAM']) AS name FROM nation", lambda spark, d: (lambda f: f.descendants(f.path("/REGN/NATN")).selectExpr(ID, "name"))(regions(spark, d)))
+_add("children_of", "SELECT p_partkey AS id, unnest(['PKEY', 'PNAM', 'BRND', 'PTYP', 'SIZE', 'RETL']) AS name FROM part", lambda spark, d: (lambda f: f.children(f.path("/")).selectExpr(ID, "name"))(parts(spark, d)))
 
 
 def _codec(name: str, table: str, columns, sql: str) -> None:
@@ -144,14 +144,14 @@ _LENGTHS = "SELECT o_orderkey AS id, 12 + 5 * 12 + 8 + 8 + 8 + strlen(o_ordersta
 
 def _marshal_len(spark, sf_dir):
     f = orders(spark, sf_dir)
-    return f.lengths().where("node_id = 0").select(ID, "length")
+    return f.lengths().where("node_id = 0").selectExpr(ID, "length")
 
 
 _add("marshal_len", _LENGTHS, _marshal_len)
 _REGION_TEXT = """SELECT r_regionkey AS id, 'REGN:CONT:' || chr(10) || chr(9) || 'RKEY:UI32:' || r_regionkey || chr(10) || chr(9) || 'RNAM:CSTR:"' || r_name || '"' || chr(10)
  || coalesce(string_agg(chr(9) || 'NATN:CONT:' || chr(10) || chr(9) || chr(9) || 'NKEY:UI32:' || n_nationkey || chr(10) || chr(9) || chr(9) || 'NNAM:CSTR:"' || n_name || '"' || chr(10) || chr(9) || 'END' || chr(10), '' ORDER BY n_nationkey), '') || 'END' || chr(10) AS body
 FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name"""
-_add("marshal_text", _REGION_TEXT, lambda spark, d: regions(spark, d).to_text().select(ID, "body"))
+_add("marshal_text", _REGION_TEXT, lambda spark, d: regions(spark, d).to_text().selectExpr(ID, "body"))
 _PART_BINARY = " || ".join(
     ["printf('%08X', {total})", "'50415254434F4E54'"]
     + ["'00000014504B455953493634' || printf('%016X', p_partkey)"]
@@ -159,17 +159,17 @@ _PART_BINARY = " || ".join(
     + ["'0000001053495A4555493332' || printf('%08X', p_size)"]
 ).replace("{total}", "12 + 20 + 39 + strlen(p_name) + strlen(p_brand) + strlen(p_type) + 16")
 _small_part = lambda spark, d: Forest.of_table("PART", _table(spark, d, "part"), F.col("p_partkey"), _fields("PKEY:SI64:p_partkey PNAM:CSTR:p_name BRND:CSTR:p_brand PTYP:CSTR:p_type SIZE:UI32:p_size"))
-_add("marshal_binary", f"SELECT p_partkey AS id, {_PART_BINARY} AS body FROM part", lambda spark, d: _small_part(spark, d).to_binary().select(ID, F.hex("body").alias("body")))
-_add("marshal_hex", f"SELECT p_partkey AS id, '0x' || {_PART_BINARY} AS body FROM part", lambda spark, d: _small_part(spark, d).to_hex().select(ID, "body"))
+_add("marshal_binary", f"SELECT p_partkey AS id, {_PART_BINARY} AS body FROM part", lambda spark, d: _small_part(spark, d).to_binary().selectExpr(ID, "hex(body) AS body"))
+_add("marshal_hex", f"SELECT p_partkey AS id, '0x' || {_PART_BINARY} AS body FROM part", lambda spark, d: _small_part(spark, d).to_hex().selectExpr(ID, "body"))
 _add(
     "marshal_xml",
     """SELECT r_regionkey AS id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<containerxml version="1">' || chr(10) || chr(9) || '<container name="REGN">' || chr(10) || chr(9) || chr(9) || '<atom name="RKEY" type="UI32" value="' || r_regionkey || '"></atom>' || chr(10) || chr(9) || chr(9) || '<atom name="RNAM" type="CSTR" value="' || r_name || '"></atom>' || chr(10) || chr(9) || '</container>' || chr(10) || '</containerxml>' || chr(10) AS body FROM region""",
-    lambda spark, d: Forest.of_table("REGN", _table(spark, d, "region"), F.col("r_regionkey"), _fields("RKEY:UI32:r_regionkey RNAM:CSTR:r_name")).to_xml().select(ID, "body"),
+    lambda spark, d: Forest.of_table("REGN", _table(spark, d, "region"), F.col("r_regionkey"), _fields("RKEY:UI32:r_regionkey RNAM:CSTR:r_name")).to_xml().selectExpr(ID, "body"),
 )
 _add(
     "debug_listing",
     "SELECT r_regionkey AS id, rpad('REGN:CONT:', w, ' ') || chr(10) || rpad('RKEY:UI32:' || r_regionkey, w, ' ') || printf('00 00 00 %02x', r_regionkey) || chr(10) AS body FROM (SELECT *, CAST(11 + strlen(r_regionkey::VARCHAR) AS INTEGER) AS w FROM region)",
-    lambda spark, d: Forest.of_table("REGN", _table(spark, d, "region"), F.col("r_regionkey"), _fields("RKEY:UI32:r_regionkey")).to_debug().select(ID, "body"),
+    lambda spark, d: Forest.of_table("REGN", _table(spark, d, "region"), F.col("r_regionkey"), _fields("RKEY:UI32:r_regionkey")).to_debug().selectExpr(ID, "body"),
 )
 
 
@@ -181,7 +181,7 @@ def _round_trip(form: str):
         again = Forest(parse_column(written.select("doc_id", "body"), "doc_id", "body", form, exactly_one=True))
         keys, quantities = again.path("/ORDR/LINE/PKEY"), again.path("/ORDR/LINE/QTY_")
         own = keys.select("doc_id", "parent_id", F.col("i").alias("part"))
-        return quantities.join(own, ["doc_id", "parent_id"]).select(ID, "part", F.col("f").alias("quantity"))
+        return quantities.join(own, ["doc_id", "parent_id"]).selectExpr(ID, "part", "f AS quantity")
 
     return make
 
