@@ -93,7 +93,7 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray) -> Model:
     p = [(r.normal(size=s) / np.sqrt(s[0])).astype(np.float32) for s in shapes]
     p[1][:] = 0
     p[6][:] = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         p[5][:] = 0
         return Model(mean, scale, *p)
     x = (x - mean) * scale
