@@ -5,9 +5,14 @@ one class, which one member stands for. Classes are posted under each coordinate
 class has are skipped, and so are classes with fewer than MATCHES others left. Pairs that agree in MATCHES coordinates
 agree in some of each one's rarest COORDINATES - MATCHES + 1, so only that prefix (by frequency) is posted again.
 
-Each posting list first meets its smallest member only (a star, not all pairs). Signatures of these pairs are compared;
-from MATCHES agreeing coordinates on, the full sets are. Confirmed links join lists' members to components. What is left
-are pairs within one list whose members are in different components; all of those are compared as well, so no link
+Of each class left, `common` counts the shingles that another class left has, too. Two sets can share no more than the
+smaller count, which bounds their similarity; this and the sizes exclude most of a group of loosely similar copies.
+
+Each posting list first meets one member only, the one with the fewest shingles of its own (a star, not all pairs).
+Signatures of these pairs are compared; from MATCHES agreeing coordinates on, the full sets are. Confirmed links join
+lists' members to components. What is left are pairs within one list whose members are in different components and
+whose sizes and common shingles allow a link. They are found by joining lists by size classes, where a class whose
+members are all in the asking member's component is left out; all of those pairs are compared as well, so no link
 that joins two components is lost, and a list of a third of all documents costs as many pairs as it has members.
 
 MATCHES lies five standard deviations under what a pair at the least similarity agrees in (40 of 64 for 0.85), so
@@ -115,32 +120,51 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     held = posted.join(shared, "pair").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "pair"))).alias("held"))
     prefix = held.where(F.size("held") >= matches).select("node", F.explode(F.slice("held", F.lit(1), F.size("held") - matches + 1)).alias("x")).select("node", F.col("x.pair").alias("pair"))
     prefix = written(prefix, "prefix")
-    first = prefix.groupBy("pair").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").select("pair", "a")
-    stars = prefix.join(first.hint("merge"), "pair").where("node != a").select("a", F.col("node").alias("b")).distinct()
+
+    asked = prefix.select(F.col("node.rep").alias("id")).distinct()
+    own = plain.join(asked.hint("merge"), "id").mapInArrow(lambda it: _classes(it, True), "id long, n long, f1 long, f2 long, extra array<long>")
+    own = own.select(F.struct(F.col("id").alias("rep"), "f1", "f2").alias("node"), "n", F.col("extra").alias("set")).join(prefix.select("node").distinct().hint("merge"), "node", "left_semi")
+    sets = written(own.dropDuplicates(["node"]), "sets")
+    single = sets.select(F.col("node.f1").alias("f1"), F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("c"), F.min("f1").alias("f1")).where("c = 1")
+    lone = single.groupBy("f1").agg(F.count("*").alias("alone"))
+    least = F.lit(percent)
+    sized = sets.select("node", "n", F.col("node.f1").alias("f1")).join(lone.hint("merge"), "f1", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+    sized = sized.withColumn("common", F.col("n") - F.col("alone")).where(F.lit(100) * F.col("common") >= least * F.col("n"))
+    member = written(prefix.join(sized.hint("merge"), "node"), "members")  # (node, pair, n, alone, common)
+
+    def possible(n1, c1, n2, c2):
+        """Whether sets of these sizes with so many common shingles can be similar."""
+        most = F.least(c1, c2)
+        return F.lit(100) * most >= least * (n1 + n2 - most)
+
+    first = member.groupBy("pair").agg(F.min(F.struct("alone", "node", "n", "common")).alias("x"), F.count("*").alias("members")).where("members > 1")
+    first = first.select("pair", F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("x.common").alias("ca"))
+    star = member.join(first.hint("merge"), "pair").where((F.col("node") != F.col("a")) & possible(F.col("n"), F.col("common"), F.col("na"), F.col("ca")))
+    stars = star.select("a", F.col("node").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that agree in `matches` coordinates and whose sets are similar."""
+        """Those of the pairs that agree in MATCHES coordinates and whose sets are similar."""
         left, right = node.select(F.col("node").alias("a"), F.col("sig").alias("sa")), node.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
         agreed = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
         near = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(agreed >= matches).select("a", "b")
-        near = written(near, "near")
-        asked = near.select(F.col("a.rep").alias("id")).union(near.select(F.col("b.rep").alias("id"))).distinct()
-        own = plain.join(asked.hint("merge"), "id").mapInArrow(lambda it: _classes(it, True), "id long, n long, f1 long, f2 long, extra array<long>")
-        sets = written(own.select(F.struct(F.col("id").alias("rep"), "f1", "f2").alias("node"), F.col("extra").alias("set")).dropDuplicates(["node"]), "sets")
         met = near.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
         met = met.select("a", "b", F.size("x").cast("long").alias("nx"), F.size("y").cast("long").alias("ny"), F.size(F.array_intersect("x", "y")).cast("long").alias("both"))
-        return written(met.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b"), "links")
+        return written(met.where(F.lit(100) * F.col("both") >= least * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b"), "links")
 
     links = confirmed(stars)
     labels = _components(links)
-    # lists whose members are in different components: all pairs of members across these
-    member = prefix.join(labels.hint("merge"), "node", "left").select("pair", "node", F.coalesce("component", "node").alias("part"))
-    mixed = prefix.join(labels.hint("merge"), "node", "left").groupBy("pair").agg(F.min(F.coalesce("component", "node")).alias("low"), F.max(F.coalesce("component", "node")).alias("high")).where("low != high").select("pair")
-    member = written(member.join(mixed.hint("merge"), "pair"), "members")
-    parts = member.select("pair", "part").distinct()
-    across = parts.alias("p").join(parts.alias("q"), F.expr("p.pair = q.pair AND p.part < q.part")).select(F.col("p.pair").alias("pair"), F.col("p.part").alias("pa"), F.col("q.part").alias("pb"))
-    pairs = across.join(member.select("pair", F.col("part").alias("pa"), F.col("node").alias("a")), ["pair", "pa"]).join(member.select("pair", F.col("part").alias("pb"), F.col("node").alias("b")), ["pair", "pb"])
-    more = confirmed(pairs.select("a", "b").distinct())
+    # within one list, a larger set asks the smaller ones of other components whose size allows a link
+    member = written(member.join(labels.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "members")
+    step = F.log(F.lit(1.02))
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / step).cast("int")
+    n, c = F.col("n"), F.col("common")
+    smaller = member.where(possible(n, c, n, c)).select("pair", size_class(n).alias("class"), F.col("node").alias("b"), F.col("part").alias("pb"), n.alias("nb"), c.alias("cb"))
+    most = F.least(n.cast("double"), c * (100.0 / percent) - n + c)
+    asking = member.select("pair", F.col("node").alias("a"), F.col("part").alias("pa"), n.alias("na"), c.alias("ca"), F.explode(F.sequence(size_class(n * (percent / 100)) - 1, F.greatest(size_class(most), size_class(n * (percent / 100)) - 1))).alias("class"))
+    groups = smaller.groupBy("pair", "class").agg(F.min("pb").alias("low"), F.max("pb").alias("high"))
+    asking = asking.join(groups.hint("merge"), ["pair", "class"]).where("NOT (low = pa AND high = pa)").drop("low", "high")
+    across = asking.join(smaller.hint("merge"), ["pair", "class"]).where((F.col("pa") != F.col("pb")) & (F.col("nb") <= F.col("na")) & possible(F.col("na"), F.col("ca"), F.col("nb"), F.col("cb")))
+    more = confirmed(across.select("a", "b").distinct())
     # nodes that share an id are one: classes' ids are linked, rather than the classes
     ids = lambda x: x.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
     doubled = known.select("id", "f1", "f2").distinct().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
