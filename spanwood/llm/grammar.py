@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import ship, written
-from .tokens import encoder
+from .tokens import encoded
 
 SHARD_IDS = 1 << 20
 ROUNDS = 4
@@ -150,19 +150,18 @@ def encode_to_shards(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         n, ids, lengths, held, size = part << 32, [], [], [], 0
-        encode = encoder(tokenizer).encode
 
         def close():
             data = pack(ids, lengths, np.frombuffer(b"".join(held), "<u4"))
             return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([part], pa.int64()), pa.array([size // 4], pa.int64()), pa.array([data], pa.binary())], ["shard", "part", "n_ids", "data"])
 
         for b in batches:
-            for i in range(len(b)):
-                own = encode(b.column("text")[i].as_py() or "") + end
+            for doc, own in zip(b.column("id").to_pylist(), encoded(tokenizer, b.column("text"))):
+                own += end
                 if ids and size + len(own) > 4 * SHARD_IDS:
                     yield close()
                     n, ids, lengths, held, size = n + 1, [], [], [], 0
-                ids.append(b.column("id")[i].as_py())
+                ids.append(doc)
                 lengths.append(len(own) // 4)
                 held.append(own)
                 size += len(own)

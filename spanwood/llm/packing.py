@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import ship, written
-from .tokens import encoder
+from .tokens import encoded
 
 SIZE = 2048
 OPEN = 64
@@ -109,11 +109,11 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_i
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode, packer, n = encoder(tokenizer).encode, Packer(), part << 32
+        packer, n = Packer(), part << 32
         for b in batches:
-            for i in range(len(b)):
-                ids = encode(b.column("text")[i].as_py() or "") + end
-                packer.add((b.column("id")[i].as_py(), 0, len(ids) // 4, ids))
+            for doc, ids in zip(b.column("id").to_pylist(), encoded(tokenizer, b.column("text"))):
+                ids += end
+                packer.add((doc, 0, len(ids) // 4, ids))
                 if len(packer.done) >= 256:
                     yield _batch(packer.done, n, False, part)
                     n += len(packer.done)

@@ -1,61 +1,120 @@
 """Token ids by the tokenizers library, each distinct stretch of text encoded once for as long as a worker remembers it.
 
-Both tokenizers cut texts into stretches that are encoded on their own: no pre-token of the word kind holds white
-space, and none of the byte kind holds a space or line break behind another character. So a text's ids are its
-stretches' ids one after another. Texts for which that isn't plain (other white space, byte kind) are encoded whole.
+Both kinds of tokenizer cut a text into pre-tokens by its own pattern and encode each by itself, so a text's ids are
+its pre-tokens' ids one after another. For texts within Latin-1 the pattern is written out here. Other texts are cut
+at plain white space, where no pre-token can reach over; those for which that isn't plain are encoded whole.
 Special tokens' strings in a text are ordinary text.
 """
 
 import json
 import os
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-KEEP = 300_000  # stretches to remember
-LONGEST = 64  # those longer than this aren't remembered
+from .words import pieces
 
+KEEP = 400_000  # strings in each of two generations of a memory
+LONGEST = 48  # those longer than this aren't remembered
+
+#: Letters, digits and white space within Latin-1, and the patterns of pre-tokens.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+_BYTE_KIND = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_WORD_KIND = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+_PLAIN_BYTE, _PLAIN_WORD = re.compile(f" [{_L}]+"), re.compile(f"[{_L}]+")
 _STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
-class _Memory(dict):
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+class _Memory:
+    """Ids of strings in two generations; what isn't there is made by `make`, many at once."""
 
-    def encode(self, s: str) -> bytes:
-        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+    def __init__(self, make):
+        self.make, self.now, self.before = make, {}, {}
 
-    def __missing__(self, s) -> bytes:
-        ids = self.encode(s if isinstance(s, str) else s.decode())
-        if len(s) <= LONGEST:
-            if len(self) >= KEEP:
-                self.clear()
-            self[s] = ids
-        return ids
+    def find(self, lists: list[list[str]]):
+        """A function from each string in the lists to its ids."""
+        if len(self.now) > KEEP:
+            self.before, self.now = self.now, {}
+        now, before, once = self.now, self.before, {}
+        new = set(chain.from_iterable(lists)).difference(now)
+        if before:
+            for s in [s for s in new if s in before]:
+                now[s] = before[s]
+                new.discard(s)
+        if new:
+            todo = list(new)
+            for s, ids in zip(todo, self.make(todo)):
+                (now if len(s) <= LONGEST else once)[s] = ids
+        return now.__getitem__ if not once else lambda s: now[s] if s in now else once[s]
 
 
 class Encoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
-        self.memory = _Memory(tokenizer)
-        words = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.by_word = words[0].get("behavior") == "Removed"
-        self.by_stretch = (config.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not config.get("normalizer")
-
-    def encode(self, text: str) -> bytes:
+        before = config.get("pre_tokenizer") or {}
+        model = config.get("model") or {}
+        self.by_word = (before.get("pretokenizers") or [{}])[0].get("behavior") == "Removed" and bool(model.get("end_of_word_suffix"))
+        self.by_byte = before.get("type") == "ByteLevel" and not config.get("normalizer") and not before.get("add_prefix_space")
+        self.memory = _Memory(self._of_tokens)
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word, or begin with its space
+        for token, i in vocabulary.items():
+            self.edge[i] = token.endswith(model.get("end_of_word_suffix") or "</w>") if self.by_word else token.startswith("\u0120")
+
+    def _of_tokens(self, todo: list[str]) -> list[bytes]:
+        """Pre-tokens' ids. Those of letters are encoded many in one text and told apart by their edges."""
+        out, rest = {}, []
+        fits = (_PLAIN_WORD if self.by_word else _PLAIN_BYTE).fullmatch
+        plain = []
+        for s in todo:
+            (plain if fits(s) else rest).append(s)
+        for i in range(0, len(plain), 256):
+            own = plain[i : i + 256]
+            ids = self.tokenizer.encode_batch_fast([(" " if self.by_word else "").join(own)], add_special_tokens=False)[0].ids
+            edges = np.flatnonzero(self.edge[ids])
+            ends = 4 * (edges + 1) if self.by_word else 4 * np.append(edges[1:], len(ids))
+            if len(ends) != len(own):
+                raise ValueError("words of letters aren't encoded each by itself")
+            data, at = array("I", ids).tobytes(), 0
+            for s, end in zip(own, ends.tolist()):
+                out[s] = data[at:end]
+                at = end
+        if rest:
+            for s, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+                out[s] = array("I", e.ids).tobytes()
+        return [out[s] for s in todo]
+
+    def _cut(self, text: str) -> list[str] | None:
+        """A text's pre-tokens, if it is within Latin-1."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return _WORD_KIND.findall(text.lower()) if self.by_word else _BYTE_KIND.findall(text) if self.by_byte else None
+
+    def _otherwise(self, text: str) -> bytes:
         if self.by_word:
-            return b"".join(map(self.memory.__getitem__, text.encode().split()))
-        if self.by_stretch and not _OTHER_SPACE.search(text):
-            return b"".join(map(self.memory.__getitem__, _STRETCH.findall(text)))
-        return self.memory.encode(text)
+            cut = [x.decode() for x in text.encode().split()]
+        elif self.by_byte:
+            cut = [text] if _OTHER_SPACE.search(text) else _STRETCH.findall(text)
+        else:
+            cut = [text]
+        return b"".join(array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(cut, add_special_tokens=False))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self._cut(t) for t in texts]
+        find = self.memory.find([x for x in cut if x])
+        return [self._otherwise(t) if x is None else b"".join(map(find, x)) for t, x in zip(texts, cut)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -66,3 +125,10 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def encoded(path: str, texts, most: int = 1 << 19):
+    """The ids of each of an Arrow array's texts (null: empty), some at a time."""
+    encode = encoder(path).encode
+    for i, j in pieces(texts, most):
+        yield from encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
