@@ -27,8 +27,8 @@ from .store import ship, written
 from .tokens import encoded
 
 SHARD_IDS = 1 << 20
-ROUNDS = 4
-RULES_A_ROUND = 4096
+ROUNDS = 2
+RULES_A_ROUND = 7000
 LEAST_COUNT = 12
 _TABLE_BITS = 20
 
@@ -36,11 +36,12 @@ _TABLE_BITS = 20
 def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols, rules (n, 2), first nonterminal)."""
     first = int(ids.max()) + 1 if len(ids) else 0
-    seq, rules, top = ids.astype(np.int64), [], first
+    seq, rules, top = ids.astype(np.uint32), [], first
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        keys = (seq[:-1] << 32) | seq[1:]
+        kind, half, odd = (np.uint32, 16, 0x9E3779B1) if top <= 1 << 16 else (np.uint64, 32, 0x9E3779B97F4A7C15)  # narrow keys sort faster
+        keys = (seq[:-1].astype(kind, copy=False) << kind(half)) | seq[1:]
         ordered = np.sort(keys)
         new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(new, len(ordered)))
@@ -50,31 +51,56 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndar
         often = often[np.argsort(-counts[often], kind="stable")[:RULES_A_ROUND]]
         pairs = ordered[new[often]]
         # a table by hash finds the chosen pairs; of two that fall on one place the more frequent stays
-        slot = lambda k: ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        shift = kind(2 * half - _TABLE_BITS)
         table = np.full(1 << _TABLE_BITS, -1, np.int32)
-        at = slot(pairs)
-        table[at[::-1]] = np.arange(len(pairs))[::-1]
-        pairs_at = table[slot(keys)]
-        hit = np.flatnonzero((pairs_at >= 0) & (pairs[pairs_at] == keys))
+        table[((pairs * kind(odd)) >> shift)[::-1]] = np.arange(len(pairs))[::-1]
+        pairs_at = table[(keys * kind(odd)) >> shift]
+        near = np.flatnonzero(pairs_at >= 0)
+        hit = near[pairs[pairs_at[near]] == keys[near]]
         start = np.concatenate([[True], hit[1:] != hit[:-1] + 1])  # in a stretch of overlapping places every other one counts
         since = np.arange(len(hit)) - np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
         hit = hit[since % 2 == 0]
-        used, name = np.unique(pairs_at[hit], return_inverse=True)
-        rules.append(np.column_stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF]))
-        seq[hit] = top + name
+        chosen = pairs_at[hit]
+        flag = np.zeros(len(pairs), bool)
+        flag[chosen] = True
+        used = pairs[flag].astype(np.int64)
+        rules.append(np.column_stack([used >> half, used & ((1 << half) - 1)]))
+        seq[hit] = top + (np.cumsum(flag) - 1)[chosen]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq, top = seq[keep], top + len(used)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), first
 
 
+def _expand(symbols: np.ndarray, flat: np.ndarray, where: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that symbols stand for, and how many each does."""
+    inner = symbols >= first
+    sizes, base = np.ones(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
+    rule = symbols[inner] - first
+    sizes[inner] = where[rule + 1] - where[rule]
+    base[inner] = where[rule]
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    if inner.any():
+        out = flat[np.repeat(base - (ends - sizes), sizes) + np.arange(total)]
+    else:
+        out = np.zeros(total, np.uint32)
+    out[(ends - sizes)[~inner]] = symbols[~inner]
+    return out, sizes
+
+
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """All nonterminals' expansions one after another, and where each starts (n + 1 numbers)."""
-    parts: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        parts.append(np.concatenate([parts[x - first] if x >= first else np.array([x], np.uint32) for x in (a, b)]))
-    sizes = np.array([len(p) for p in parts], np.int64)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.concatenate([[0], np.cumsum(sizes)])
+    """All nonterminals' expansions one after another (and a zero), and where each starts (n + 1 numbers)."""
+    flat, where, at = np.zeros(1, np.uint32), np.zeros(1, np.int64), 0
+    newest = rules.max(axis=1) - first if len(rules) else np.zeros(0, np.int64)
+    while at < len(rules):  # as many rules at once as name earlier ones only: about a round's
+        late = np.flatnonzero(newest[at:] >= at)
+        end = at + int(late[0]) if len(late) else len(rules)
+        out, sizes = _expand(rules[at:end].ravel(), flat, where, first)
+        flat = np.concatenate([flat[:-1], out, np.zeros(1, np.uint32)])
+        where = np.concatenate([where, where[-1] + np.cumsum(sizes.reshape(-1, 2).sum(axis=1))])
+        at = end
+    return flat, where
 
 
 def pack(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
@@ -112,7 +138,6 @@ class Shard:
         self.flat, self.where = expansions(rules.astype(np.int64), self.first)
         if not np.array_equal(np.diff(self.where), self.rule_lengths):
             raise ValueError("a shard's rules and their lengths differ")
-        self.flat = np.concatenate([self.flat, np.zeros(1, np.uint32)])
         sizes = np.ones(n_symbols, np.int64)
         inner = self.symbols >= self.first
         sizes[inner] = self.rule_lengths[self.symbols[inner] - self.first]
@@ -128,16 +153,8 @@ class Shard:
         if start >= stop:
             return np.zeros(0, np.uint32)
         low, high = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left") + 1
-        symbols = self.symbols[low:high]
         before = int(self.ends[low - 1]) if low else 0
-        ends = self.ends[low:high] - before
-        sizes = np.diff(np.append(0, ends))
-        inner = symbols >= self.first
-        base = np.zeros(len(symbols), np.int64)
-        base[inner] = self.where[symbols[inner] - self.first]
-        out = self.flat[np.repeat(base - (ends - sizes), sizes) + np.arange(ends[-1])] if inner.any() else np.zeros(ends[-1], np.uint32)
-        plain = ~inner
-        out[(ends - sizes)[plain]] = symbols[plain]
+        out, _ = _expand(self.symbols[low:high], self.flat, self.where, self.first)
         return out[start - before : stop - before]
 
 
