@@ -1,13 +1,17 @@
 """The node table with its operators as methods, and the functions that SQL can call."""
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from .functions import columns
 from .operators import navigate, sinks
 from .plans.compile import select
 from .sources import files, tables
-from .types import DOCUMENT
+from .sources.tree import rows
+from .types import DOCUMENT, NODES
 
 
 class Forest:
@@ -78,7 +82,17 @@ def _within(order: str):
     return Window.partitionBy(*DOCUMENT).orderBy(order)
 
 
+class _Parse:
+    """Rows of the node table that a content holds."""
+
+    def eval(self, doc_id: str, content: bytes, form: str):
+        for n, root in enumerate(files.parse_bytes(bytes(content), form)):
+            for r in rows(root, doc_id, n):
+                yield (*r[:13], None if r[13] is None else Decimal(r[13]), *r[14:])
+
+
 def register(spark: SparkSession) -> None:
-    """node_text(type, data) and node_data(type, text) for SQL."""
+    """For SQL: node_text(type, data), node_data(type, text), and the table function parse_nodes(doc_id, content, form)."""
     spark.udf.register("node_text", columns.text_of)
     spark.udf.register("node_data", columns.encode_text)
+    spark.udtf.register("parse_nodes", udtf(_Parse, returnType=NODES))

@@ -4,7 +4,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 from ..functions import codec
-from ..types import name_of
+from ..types import name_of, raw_of
 
 
 class Node(NamedTuple):
@@ -14,6 +14,15 @@ class Node(NamedTuple):
     children: list | None
 
 
+def make(name: str, code: str, value=None, children: list[Node] | None = None) -> Node:
+    """A node of a host value (None: the type's zero), or a container of children."""
+    if code == "CONT":
+        return Node(raw_of(name), code, b"", list(children or []))
+    if children is not None:
+        raise ValueError(f"type {code} can't have children")
+    return Node(raw_of(name), code, codec.encode_value(code, value), None)
+
+
 def rows(root: Node, doc_id: str, ordinal: int) -> Iterator[tuple]:
     """The tree's rows in the order and with the columns of `types.NODES`, root first."""
     out: list[list] = []

@@ -153,3 +153,47 @@ def test_columns_agree_with_the_codec(spark):
         want = codec.decode(code, bytes.fromhex(data))
         want = next(x for x in (want.u, want.i, want.f, want.s) if x is not None)
         assert (int(got) if isinstance(want, int) else got) == want, (code, data)
+
+
+def test_sql_functions(spark):
+    from spanwood.api import register
+
+    register(spark)
+    spark.createDataFrame([("d", TEXT.encode())], "id string, body binary").createOrReplaceTempView("contents")
+    found = spark.sql("SELECT n.* FROM contents, LATERAL parse_nodes(id, body, 'text') n")
+    assert Forest(found).path("/DOC_[NUMB = 7]").count() == 1
+    assert spark.sql("SELECT node_text('UI32', node_data('UI32', '0x10'))").first()[0] == "16"
+
+
+def test_nodes_from_values(spark):
+    from spanwood.sources.tree import make
+
+    node = make("DOC_", "CONT", children=[make("NUMB", "UI32", 7), make("STRI", "CSTR", "x"), make("ZERO", "SI64"), make("0x00000001", "UR32", (1, 2))])
+    df = spark.createDataFrame([("d", write_binary(node))], "id string, body binary")
+    assert body(Forest.parse(df, "id", "body").to_text()) == 'DOC_:CONT:\n\tNUMB:UI32:7\n\tSTRI:CSTR:"x"\n\tZERO:SI64:0\n\t0x00000001:UR32:1/2\nEND\n'
+    with pytest.raises(ValueError):
+        make("NUMB", "UI32", 1, [node])
+    with pytest.raises(ValueError, match="cannot use type"):
+        make("NUMB", "UI32", 1.5)
+
+
+def test_attribute_table(spark):
+    from spanwood.operators.navigate import attribute_table
+
+    cells = lambda name, code, values: f"{name}:CONT:\nAVTP:FC32:'{code}'\nAVAL:CONT:\n" + "".join(f"0x{i:08X}:{code}:{v}\n" for i, v in enumerate(values)) + "END\nEND\n"
+    text = "BUND:CONT:\nBVER:UI32:1\n" + cells("IDEN", "UI32", [5, 6]) + cells("NAME", "CSTR", ['"a"', '"b"']) + "END\n"
+    nodes = Forest.parse(spark.createDataFrame([("d", text)], "id string, body string"), "id", "body").nodes
+    assert sorted((r.row, r.IDEN, r.NAME) for r in attribute_table(nodes, ["IDEN", "NAME"]).collect()) == [(0, "5", "a"), (1, "6", "b")]
+
+
+def test_command_line(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    (tmp_path / "in.txt").write_text(TEXT)
+    run = lambda *a: subprocess.run([sys.executable, "-m", "spanwood", *a], cwd=root, capture_output=True, text=True, timeout=120)
+    assert run("build", f"{tmp_path}/in.txt", f"{tmp_path}/out.bin").returncode == 0
+    shown = run("show", "-p", "/DOC_/NUMB", f"{tmp_path}/out.bin")
+    assert shown.stdout == "NUMB:UI32:7\n", shown.stderr
