@@ -1,7 +1,7 @@
 """Operator 7: a quality classifier by attention-based multiple-instance learning.
 
 A document is a bag of passages of PASSAGE bytes (the whole text is cut). A passage's features are the roots of its
-byte shares and of the shares of pairs of neighbouring byte kinds. A layer encodes every passage; gated attention
+byte shares, of the shares of pairs of neighbouring byte kinds, and of the shares of words that equal the word one or two before. A layer encodes every passage; gated attention
 (tanh and sigmoid branches, multiplied) gives the passages' weights within their document, learnt from document labels
 only; a logistic unit scores the weighted passage representation.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import ship
-from .words import buffers, pieces
+from .words import buffers, hash_spans, pieces, spans
 
 PASSAGE = 1024
 SAMPLE = 6000
@@ -31,7 +31,8 @@ MOST_PASSAGES = 24
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 40, 256, 0.01, 1e-4
 THRESHOLD = 0.3
 KINDS = 8
-WIDTH = 256 + KINDS * KINDS
+LAGS = 2
+WIDTH = 256 + KINDS * KINDS + LAGS
 
 _KIND = np.full(256, 7, np.uint8)  # 7: bytes of other scripts
 _KIND[:128] = 5
@@ -54,7 +55,12 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     same = where[1:] == where[:-1]
     double = np.bincount((where[1:] * KINDS + kind[:-1])[same] * KINDS + kind[1:][same], minlength=n * KINDS * KINDS).reshape(n, -1)
     total = np.maximum(1, single.sum(axis=1, keepdims=True))
-    return np.sqrt(np.concatenate([single, double], axis=1) / total).astype(np.float32), first
+    starts, ends = spans(buf, offsets)
+    words, at = hash_spans(buf, starts, ends), where[starts]
+    each = np.maximum(1, np.bincount(at, minlength=n))
+    again = [np.bincount(at[lag:][(words[lag:] == words[:-lag]) & (at[lag:] == at[:-lag])], minlength=n) / each for lag in range(1, LAGS + 1)]
+    shares = np.concatenate([single / total, double / total, np.stack(again, axis=1)], axis=1)
+    return np.sqrt(shares).astype(np.float32), first
 
 
 class Model(NamedTuple):
