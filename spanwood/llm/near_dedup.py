@@ -10,10 +10,11 @@ smaller count, which bounds their similarity; this and the sizes exclude most of
 
 Each posting list first meets one member only, the one with the fewest shingles of its own (a star, not all pairs).
 Signatures of these pairs are compared; from MATCHES agreeing coordinates on, the full sets are. Confirmed links join
-lists' members to components. What is left are pairs within one list whose members are in different components and
-whose sizes and common shingles allow a link. They are found by joining lists by size classes, where a class whose
-members are all in the asking member's component is left out; all of those pairs are compared as well, so no link
-that joins two components is lost, and a list of a third of all documents costs as many pairs as it has members.
+lists' members to components. Lists that still hold several components hang together in clusters of loosely similar
+documents. Within a cluster the full sets are compared in blocks of BLOCK documents of like size, two blocks a task, and
+each task returns links between different components only, no more than it has documents. So no link that joins two
+components is lost, and neither pairs nor a group are ever gathered; the work within one cluster does grow with the
+square of its size, at some ten million pairs a second and core.
 
 MATCHES lies five standard deviations under what a pair at the least similarity agrees in (40 of 64 for 0.85), so
 about one such pair in a million is missed; more similar ones practically never.
@@ -41,6 +42,7 @@ U = np.uint64
 SHINGLE = 5
 PERCENT = 85
 COORDINATES = 64
+BLOCK = 512
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
@@ -87,6 +89,42 @@ def _classes(batches: Iterator[pa.RecordBatch], with_sets: bool) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(extra, kind)], ["id", "n", "f1", "f2", "extra"])
 
 
+def _links_between(table: pa.Table, percent: int) -> pa.Table:
+    """Links between different components among the sets of one or two blocks: a spanning forest of them."""
+    lists = table.column("set").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    _, place, count = np.unique(lists.values.to_numpy(), return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = np.cumsum(shared) - 1
+    use = shared[place]
+    of, column = of[use], column[place[use]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    both = np.zeros((len(sizes), len(sizes)), np.float32)
+    for low in range(0, int(shared.sum()), 2048):
+        s, e = np.searchsorted(column, [low, low + 2048])
+        held = np.zeros((len(sizes), 2048), np.float32)
+        held[of[s:e], column[s:e] - low] = 1
+        both += held @ held.T
+    union = sizes[:, None] + sizes[None, :] - both
+    _, part = np.unique(np.array([str(x) for x in table.column("part").to_pylist()]), return_inverse=True)
+    x, y = np.nonzero(np.triu((100 * both >= percent * union) & (part[:, None] != part[None, :]), 1))
+    root, kept = list(range(int(part.max(initial=0)) + 1)), []
+    for i, j in zip(x.tolist(), y.tolist()):
+        ends = []
+        for p in (int(part[i]), int(part[j])):
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            ends.append(p)
+        if ends[0] != ends[1]:
+            root[max(ends)] = min(ends)
+            kept.append((i, j))
+    nodes = table.column("node")
+    return pa.table({"a": nodes.take(pa.array([i for i, _ in kept], pa.int64())), "b": nodes.take(pa.array([j for _, j in kept], pa.int64()))})
+
+
 def _components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes (a, b) of links: the smallest node that can be reached."""
     edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -153,18 +191,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
     links = confirmed(stars)
     labels = _components(links)
-    # within one list, a larger set asks the smaller ones of other components whose size allows a link
+    # lists that hold several components hang together in clusters, within which all sets are compared in blocks
     member = written(member.join(labels.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "members")
-    step = F.log(F.lit(1.02))
-    size_class = lambda n: F.floor(F.log(n.cast("double")) / step).cast("int")
-    n, c = F.col("n"), F.col("common")
-    smaller = member.where(possible(n, c, n, c)).select("pair", size_class(n).alias("class"), F.col("node").alias("b"), F.col("part").alias("pb"), n.alias("nb"), c.alias("cb"))
-    most = F.least(n.cast("double"), c * (100.0 / percent) - n + c)
-    asking = member.select("pair", F.col("node").alias("a"), F.col("part").alias("pa"), n.alias("na"), c.alias("ca"), F.explode(F.sequence(size_class(n * (percent / 100)) - 1, F.greatest(size_class(most), size_class(n * (percent / 100)) - 1))).alias("class"))
-    groups = smaller.groupBy("pair", "class").agg(F.min("pb").alias("low"), F.max("pb").alias("high"))
-    asking = asking.join(groups.hint("merge"), ["pair", "class"]).where("NOT (low = pa AND high = pa)").drop("low", "high")
-    across = asking.join(smaller.hint("merge"), ["pair", "class"]).where((F.col("pa") != F.col("pb")) & (F.col("nb") <= F.col("na")) & possible(F.col("na"), F.col("ca"), F.col("nb"), F.col("cb")))
-    more = confirmed(across.select("a", "b").distinct())
+    mixed = member.groupBy("pair").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("a")).where("low != high").select("pair", "a")
+    listed = written(member.join(mixed.hint("merge"), "pair").select("node", "n", "part", "a"), "listed")
+    clusters = _components(listed.where("a != node").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "cluster")
+    people = listed.select("node", "n", "part").distinct().join(clusters.hint("merge"), "node")
+    people = people.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))  # similar sets are one class apart at most
+    sizes = people.groupBy("cluster", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("buckets"))
+    people = written(people.join(sizes.hint("merge"), ["cluster", "class"]).withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("buckets")).cast("int")).drop("buckets"), "people")
+    block = sizes.select("cluster", "class", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"))
+    first, second = block.toDF("cluster", "c1", "b1"), block.toDF("cluster", "c2", "b2")
+    meetings = first.join(second.hint("merge"), "cluster").where("c2 = c1 AND b2 >= b1 OR c2 = c1 + 1")
+    ones = people.toDF("cluster", "c1", "node", "n", "part", "b1").join(meetings.hint("merge"), ["cluster", "c1", "b1"])
+    twos = people.toDF("cluster", "c2", "node", "n", "part", "b2").join(meetings.where("NOT (c1 = c2 AND b1 = b2)").hint("merge"), ["cluster", "c2", "b2"])
+    task = ["cluster", "c1", "b1", "c2", "b2"]
+    meeting = ones.select(*task, "node", "part").unionByName(twos.select(*task, "node", "part")).join(sets.select("node", "set").hint("merge"), "node")
+    name = "struct<rep:bigint,f1:bigint,f2:bigint>"
+    more = written(meeting.groupBy(*task).applyInArrow(lambda t: _links_between(t, percent), f"a {name}, b {name}"), "links")
     # nodes that share an id are one: classes' ids are linked, rather than the classes
     ids = lambda x: x.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
     doubled = known.select("id", "f1", "f2").distinct().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
