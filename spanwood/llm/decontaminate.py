@@ -1,8 +1,10 @@
 """Operator 2: benchmark decontamination with a BM25 inverted index and block-max WAND.
 
 The benchmark's items are indexed; an item's BM25 weights are divided by their sum, so an item that a passage holds
-whole scores 1. Each document is cut into passages of twice the longest item's words, every one half over the one
-before, so an item stands whole in some passage. Every passage is a query: block-max WAND retrieves all items that
+whole scores 1. All words of every item count. Items are grouped by length: up to FIRST_CLASS words, up to twice as many,
+and so on. For each class, each document is cut into passages of twice the class's longest item's words, every one half
+over the one before, so an item stands whole in some passage, and a huge item doesn't widen the passages of short ones.
+Term statistics are those of all classes together. Every passage is a query: block-max WAND retrieves all items that
 score at least `threshold`, skipping blocks of postings whose greatest weights can't reach it. (Before it, one pass
 over all passages of a batch sums greatest weights by ranges of items over the rarer terms only, and drops passages
 that can't reach the threshold even with all that the commoner terms can add to any item.) A retrieved item
@@ -20,6 +22,7 @@ replaced; an empty benchmark or table gives no leaks.
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ POSTINGS = 8  # in a block
 RANGE = 2  # items whose greatest weights the first pass takes together
 MOST_RANGES = 128
 COMMON = 0.1  # of an item's weight, that the terms left out of the first pass may have
-LONGEST = 512  # words of an item that count
+FIRST_CLASS = 512  # words of an item of the first length class; each further class reaches twice as far
 
 _GAP = np.ones(256, bool)
 _GAP[128:] = False
@@ -55,12 +58,38 @@ def _triples(words: np.ndarray) -> np.ndarray:
     return np.unique(grams(words, min(3, len(words))) if len(words) else words)
 
 
+def _class(size: int) -> int:
+    return ((size - 1) // FIRST_CLASS).bit_length()
+
+
+def _with_words(items: list[tuple[int, str]]) -> list[tuple[int, str, np.ndarray]]:
+    """The items that have words, and these."""
+    words, at = _words(pa.array([t or "" for _, t in items], pa.string()))
+    return [(i, t, words[s:e]) for (i, t), s, e in zip(items, at[:-1], at[1:]) if e > s]
+
+
+class Totals(NamedTuple):
+    """Of a whole benchmark: its items that have words, their mean length, each length class's longest, and how many items have each term."""
+
+    n: int
+    mean: float
+    longest: dict[int, int]
+    terms: np.ndarray
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, kept: list[tuple[int, str, np.ndarray]]) -> "Totals":
+        sizes = sorted(len(w) for _, _, w in kept)
+        terms, df = np.unique(np.concatenate([np.unique(w) for _, _, w in kept]), return_counts=True) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return cls(len(sizes), sum(sizes) / len(sizes) if sizes else 1.0, {_class(n): n for n in sizes}, terms, df)
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
-        words, at = _words(pa.array([t or "" for _, t in items], pa.string()))
-        kept = [(i, t, words[s : min(e, s + LONGEST)]) for (i, t), s, e in zip(items, at[:-1], at[1:]) if e > s]
+    def __init__(self, items: list[tuple[int, str]], totals: Totals | None = None):
+        kept = _with_words(items)
+        totals = totals or Totals.of(kept)
         self.ids = [i for i, _, _ in kept]
-        self.size = max([1, *(len(w) for _, _, w in kept)])
+        self.size = max([1, *(totals.longest[_class(len(w))] for _, _, w in kept)])
         self.parts = []
         for _, text, w in kept:
             cut = len(_words(pa.array([text[: text.rindex("?") + 1]]))[0]) if "?" in text else len(w)
@@ -68,18 +97,15 @@ class Index:
                 cut = len(w) - max(1, len(w) // 4)
             self.parts.append((_triples(w[:cut]), min(3, cut), _triples(w[cut:]), min(3, len(w) - cut), len(w)))
         self.terms = np.unique(np.concatenate([w for _, _, w in kept])) if kept else np.zeros(0, np.uint64)
-        n, mean = len(kept), float(np.mean([len(w) for _, _, w in kept])) if kept else 1.0
         found = [np.unique(np.searchsorted(self.terms, w), return_counts=True) for _, _, w in kept]
-        df = np.zeros(len(self.terms))
-        for t, _ in found:
-            df[t] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        df = totals.df[np.searchsorted(totals.terms, self.terms)].astype(np.float64)
+        idf = np.log(1 + (totals.n - df + 0.5) / (df + 0.5))
         self.lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        width = max(RANGE, -(-n // MOST_RANGES))
-        self.ranges = np.zeros((len(self.terms), max(1, -(-n // width))), np.float32)
+        width = max(RANGE, -(-len(kept) // MOST_RANGES))
+        self.ranges = np.zeros((len(self.terms), max(1, -(-len(kept) // width))), np.float32)
         weights = []
         for item, ((t, tf), (_, _, w)) in enumerate(zip(found, kept)):
-            weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
+            weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / totals.mean))
             weight /= weight.sum()
             np.maximum.at(self.ranges, (t, item // width), weight.astype(np.float32))
             weights.append((t, weight))
@@ -154,10 +180,9 @@ class Index:
             cursors = [c for c in cursors if c[0] is not end]
         return found
 
-    def leaks(self, texts: pa.Array, threshold: float) -> list[list[tuple]]:
+    def leaks(self, words: np.ndarray, bounds: np.ndarray, threshold: float) -> list[list[tuple]]:
         """Of each text: (item id, score, question's share, answer's share), the best passage's for each item."""
-        words, bounds = _words(texts)
-        out: list[dict] = [{} for _ in range(len(texts))]
+        out: list[dict] = [{} for _ in range(len(bounds) - 1)]
         where, terms = self.term_ids(words)
         if not len(where):
             return [[] for _ in out]
@@ -178,7 +203,8 @@ class Index:
         inner = np.ones(first[-1], bool)
         inner[first[1:] - 1] = False
         both = sums[:-1] + np.where(inner[:, None], sums[1:], 0)
-        for p in np.flatnonzero(both.max(axis=1) >= (threshold - self.added) * 0.999).tolist():
+        slack = max(0.001, 4 * self.size * 6e-8)  # more than the error of a passage's sum in single precision
+        for p in np.flatnonzero(both.max(axis=1) >= (threshold - self.added) * (1 - slack)).tolist():
             own = set()
             for h in (p, p + 1) if inner[p] else (p,):
                 if h in span:
@@ -198,6 +224,20 @@ class Index:
         return [[(self.ids[i], *v) for i, v in sorted(x.items())] for x in out]
 
 
+def indexes(items: list[tuple[int, str]], totals: Totals | None = None) -> list[Index]:
+    """An index of each length class's items."""
+    kept = _with_words(items)
+    totals = totals or Totals.of(kept)
+    return [Index([(i, t) for i, t, w in kept if _class(len(w)) == c], totals) for c in sorted({_class(len(w)) for _, _, w in kept})]
+
+
+def all_leaks(own: list[Index], texts: pa.Array, threshold: float) -> list[list[tuple]]:
+    """What any of the indexes finds in each text, by item id."""
+    words, bounds = _words(texts)
+    found = [index.leaks(words, bounds, threshold) for index in own]
+    return [sorted((x for one in found for x in one[d]), key=lambda x: (x[0] is not None, x[0] or 0)) for d in range(len(texts))]
+
+
 LEAKS = "array<struct<item_id:long,score:double,question:double,answer:double>>"
 
 
@@ -212,13 +252,13 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item: st
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
     for k in range(n):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items
-        index = Index(sorted(map(tuple, own.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")))
+        built = indexes(sorted(map(tuple, own.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")))
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], built=built) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i, j in pieces(b.column("text")):
                     piece = b.slice(i, j - i)
-                    found = [[dict(zip(("item_id", "score", "question", "answer"), x)) for x in own] for own in index.leaks(piece.column("text"), threshold)]
+                    found = [[dict(zip(("item_id", "score", "question", "answer"), x)) for x in own] for own in all_leaks(built, piece.column("text"), threshold)]
                     before = piece.column("leaks").to_pylist()
                     yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("text"), pa.array([(x or []) + y for x, y in zip(before, found)], kind)], ["row", "text", "leaks"])
 

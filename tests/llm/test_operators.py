@@ -141,6 +141,18 @@ def test_decontamination_by_blocks_of_the_benchmark(spark, monkeypatch):
     assert all(x.doc_id in {y.item_id for y in x.leaks} for x in got.collect())
 
 
+def test_decontamination_counts_all_words_of_long_items(spark):
+    word = [f"p{i}" for i in range(900)]
+    long = " ".join(word[:800]) + "? " + " ".join(word[800:])
+    huge = " ".join(f"h{i}" for i in range(5000))
+    filler = " ".join(f"f{i}" for i in range(700))
+    bench = spark.createDataFrame([*items(), (500, long), (501, huge)], "item_id long, text string")
+    rows = [(0, " ".join([filler, *word[300:], filler])), (1, " ".join([filler, *word[:512], filler])), (2, f"{filler} {huge} {filler}"), (3, f"{filler} {items()[7][1]} {filler}"), (4, filler)]
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert {(x.doc_id, y.item_id) for x in got.collect() for y in x.leaks} == {(0, 500), (2, 501), (3, 7)}
+    assert [x.size for x in decontaminate.indexes([*items(), (500, long), (501, huge)])] == [max(len(t.split()) for _, t in items()), 900, 5000]
+
+
 # 3 and 6
 
 
