@@ -12,7 +12,8 @@ is confirmed by the shares of its question's and its answer's word triples that
 follows the last question mark, or else the last quarter of the item.
 
 Words are runs of letters and digits (and all bytes above 127), A-Z lower-cased. The benchmark is read in blocks of
-at most INDEX_BYTES of text, each indexed on the driver and sent to the executors, one pass over the documents for each.
+about INDEX_BYTES of text at most, each indexed on the driver and sent to the executors, one pass over the documents for
+each. Statistics and passage lengths are counted over the whole benchmark first, so blocks find what one index would.
 
 Defined cases: a null or empty text has no passages; an item without words matches nothing, one of fewer than SHORT
 words must be held whole; repeated items are found each; repeated rows are judged alike; all columns stay, but `leaks` is
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import ship
+from .store import ship, written
 from .words import WEIGHT_LOWER, buffers, grams, hash_spans, pieces, spans
 
 INDEX_BYTES = 8 << 20
@@ -138,13 +139,14 @@ class Index:
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items that score at least threshold, by block-max WAND."""
         found, end = [], math.inf
+        least = threshold * (1 - 1e-9)  # for bounds, whose sums' last bits depend on the order; a score's don't
         cursors = [[self.items[t][0], 0, 0, t] for t in terms]  # item, posting, block, term
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
             for i, c in enumerate(cursors):
                 bound += self.top[c[3]]
-                if bound >= threshold:
+                if bound >= least:
                     pivot = i
                     break
             if pivot < 0:
@@ -160,12 +162,12 @@ class Index:
                 if c[2] < len(blocks):
                     bound += blocks[c[2]][1]
                     last = min(last, blocks[c[2]][0])
-            if bound >= threshold and cursors[0][0] == item:
-                score = sum(self.lists[c[3]][c[1]][1] for c in cursors[: pivot + 1])
+            if bound >= least and cursors[0][0] == item:
+                score = math.fsum(self.lists[c[3]][c[1]][1] for c in cursors[: pivot + 1])
                 if score >= threshold:
                     found.append((item, score))
                 goal = item + 1
-            elif bound >= threshold:
+            elif bound >= least:
                 goal = item
             else:  # no item up to the nearest block's end, or to the next list's item, can reach it
                 goal = last + 1
@@ -231,11 +233,36 @@ def indexes(items: list[tuple[int, str]], totals: Totals | None = None) -> list[
     return [Index([(i, t) for i, t, w in kept if _class(len(w)) == c], totals) for c in sorted({_class(len(w)) for _, _, w in kept})]
 
 
+def _order(leak: tuple) -> tuple:
+    return leak[0] is not None, leak[0] or 0, *leak[1:]
+
+
 def all_leaks(own: list[Index], texts: pa.Array, threshold: float) -> list[list[tuple]]:
     """What any of the indexes finds in each text, by item id."""
     words, bounds = _words(texts)
     found = [index.leaks(words, bounds, threshold) for index in own]
-    return [sorted((x for one in found for x in one[d]), key=lambda x: (x[0] is not None, x[0] or 0)) for d in range(len(texts))]
+    return [sorted((x for one in found for x in one[d]), key=_order) for d in range(len(texts))]
+
+
+def totals_by_block(items: DataFrame) -> tuple[Totals, DataFrame]:
+    """The totals of items (block, text) but for terms, and the written table (block, term, df) of what each block's terms have in all blocks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in pieces(b.column("text")):
+                words, at = _words(b.column("text").slice(i, j - i))
+                for block, s, e in zip(b.column("block").slice(i, j - i).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    if e > s:  # the item itself, and its terms
+                        own = pa.array(np.unique(words[s:e]).view(np.int64))
+                        terms = pa.concat_arrays([pa.nulls(1, pa.int64()), own])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), block, np.int64)), terms, pa.array([e - s] + [None] * len(own), pa.int64())], ["block", "term", "size"])
+
+    found = written(items.mapInArrow(count, "block long, term long, size long"), "benchmark-terms")
+    sizes = found.where("term IS NULL").groupBy("size").agg(F.count("*").alias("n")).orderBy("size").collect()
+    n = sum(r.n for r in sizes)
+    totals = Totals(n, sum(r.size * r.n for r in sizes) / n if n else 1.0, {_class(r.size): r.size for r in sizes}, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    each = found.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"), F.collect_set("block").alias("blocks"))
+    return totals, written(each.select(F.explode("blocks").alias("block"), "term", "df"), "benchmark-df")
 
 
 LEAKS = "array<struct<item_id:long,score:double,question:double,answer:double>>"
@@ -250,9 +277,18 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item: st
     carry = [c for c in df.columns if c != "leaks"]
     out = df.select(F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(carry))).alias("row"), F.col(f"`{text}`").cast("string").alias("text"), F.lit(None).cast(LEAKS).alias("leaks"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
+    if n > 1:
+        items = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
+        totals, counted = totals_by_block(items.select("block", "text"))
     for k in range(n):
-        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items
-        built = indexes(sorted(map(tuple, own.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")))
+        own = items.where(F.col("block") == k).drop("block") if n > 1 else items
+        own_totals = None
+        if n > 1:
+            one = counted.where(F.col("block") == k).select("term", "df").toArrow()
+            terms, df_ = (one.column(c).to_numpy() for c in ("term", "df"))
+            order = np.argsort(terms.view(np.uint64))
+            own_totals = totals._replace(terms=terms.view(np.uint64)[order], df=df_[order])
+        built = indexes(sorted(map(tuple, own.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), own_totals)
 
         def run(batches: Iterator[pa.RecordBatch], built=built) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -260,7 +296,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item: st
                     piece = b.slice(i, j - i)
                     found = [[dict(zip(("item_id", "score", "question", "answer"), x)) for x in own] for own in all_leaks(built, piece.column("text"), threshold)]
                     before = piece.column("leaks").to_pylist()
-                    yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("text"), pa.array([(x or []) + y for x, y in zip(before, found)], kind)], ["row", "text", "leaks"])
+                    yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("text"), pa.array([sorted((x or []) + y, key=lambda v: _order(tuple(v.values()))) if x else y for x, y in zip(before, found)], kind)], ["row", "text", "leaks"])
 
         out = out.mapInArrow(run, f"row {out.schema['row'].dataType.simpleString()}, text string, leaks {LEAKS}")
     return out.select(*(F.col(f"row.k{i}").alias(c) for i, c in enumerate(carry)), "leaks")

@@ -141,6 +141,26 @@ def test_decontamination_by_blocks_of_the_benchmark(spark, monkeypatch):
     assert all(x.doc_id in {y.item_id for y in x.leaks} for x in got.collect())
 
 
+def test_blocks_of_the_benchmark_find_what_one_index_finds(spark, monkeypatch):
+    r = random.Random(8)
+    vocabulary = [f"z{int(r.paretovariate(0.6))}" for _ in range(4000)]
+    bench = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randrange(15, 60)))) for i in range(300)] + [(None, "a word of no number here")]
+    bench += [(400 + i, " ".join(r.choice(vocabulary) for _ in range(r.randrange(600, 900)))) for i in range(3)] + [(7, bench[9][1])]
+    rows = []
+    for i, t in bench:
+        own = t.split()
+        for share in (0.5, 0.55, 0.6, 0.65, 0.7):
+            size = round(share * len(own))
+            at = r.randrange(len(own) - size + 1)
+            rows.append((len(rows), " ".join(own[at : at + size])))
+    rows += [(-1, " ".join(t for _, t in bench[:40])), (-2, None)]
+    docs, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    want = sorted((x.doc_id, x.leaks) for x in decontaminate.find_leaks(docs, b).collect())
+    assert 100 < sum(bool(x) for _, x in want) < len(rows) - 100
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", sum(len(t) for _, t in bench))  # five blocks
+    assert sorted((x.doc_id, x.leaks) for x in decontaminate.find_leaks(docs, b).collect()) == want
+
+
 def test_decontamination_counts_all_words_of_long_items(spark):
     word = [f"p{i}" for i in range(900)]
     long = " ".join(word[:800]) + "? " + " ".join(word[800:])
