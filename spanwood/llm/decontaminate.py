@@ -16,7 +16,7 @@ about INDEX_BYTES of text at most, each indexed on the driver and sent to the ex
 each. Statistics and passage lengths are counted over the whole benchmark first, so blocks find what one index would.
 
 Defined cases: a null or empty text has no passages; an item without words matches nothing, one of fewer than SHORT
-words must be held whole; repeated items are found each; repeated rows are judged alike; all columns stay, but `leaks` is
+words must be held whole (one word is an answer, and its empty question counts as held); repeated items are found each; repeated rows are judged alike; all columns stay, but `leaks` is
 replaced; an empty benchmark or table gives no leaks.
 """
 
@@ -220,7 +220,7 @@ class Index:
                     question, q_size, answer, a_size, n = self.parts[item]
                     for size in {q_size, a_size} - held.keys():
                         held[size] = grams(passage, size)
-                    q, a = float(np.isin(question, held[q_size]).mean()), float(np.isin(answer, held[a_size]).mean())
+                    q, a = (float(np.isin(part, held[size]).mean()) if size else 1.0 for part, size in ((question, q_size), (answer, a_size)))
                     if (q >= QUESTION and a >= ANSWER) if n >= SHORT else q == a == 1:
                         out[d][item] = max(out[d].get(item, (0.0,)), (round(score, 6), round(q, 6), round(a, 6)))
         return [[(self.ids[i], *v) for i, v in sorted(x.items())] for x in out]

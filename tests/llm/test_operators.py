@@ -141,6 +141,13 @@ def test_decontamination_by_blocks_of_the_benchmark(spark, monkeypatch):
     assert all(x.doc_id in {y.item_id for y in x.leaks} for x in got.collect())
 
 
+def test_decontamination_finds_items_of_few_words(spark):
+    bench = [(1, "42"), (2, "Paris?"), (3, "two words"), (4, "?"), *((10 + i, t) for i, t in items())]
+    rows = [(0, "the answer is 42, they say"), (1, "PARIS"), (2, "some two words here"), (3, "two other things"), (4, "142 ? parisian"), (5, "42 in Paris")]
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(x.doc_id, y.item_id) for x in got.collect() for y in x.leaks} == {(0, 1), (1, 2), (2, 3), (5, 1), (5, 2)}
+
+
 def test_blocks_of_the_benchmark_find_what_one_index_finds(spark, monkeypatch):
     r = random.Random(8)
     vocabulary = [f"z{int(r.paretovariate(0.6))}" for _ in range(4000)]
