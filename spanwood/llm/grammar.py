@@ -2,7 +2,7 @@
 
 Documents are sorted by id and encoded; each about SHARD_IDS ids become a shard, whose frequent pairs of symbols are
 replaced by nonterminals, again and again, the most frequent first. A round replaces up to RULES_A_ROUND pairs at
-once (left to right where two overlap), until ROUNDS have passed or nothing frequent is left. A shard's file holds
+once (left to right where two overlap), until no pair is seen LEAST_COUNT times. A shard's file holds
 its documents' ids and lengths, the rules, the rules' expansion lengths and the remaining symbols; with the lengths,
 any range of ids is decoded from the symbols that cover it only. Files are rows of a table in the shared folder.
 
@@ -27,28 +27,26 @@ from .store import ship, written
 from .tokens import encoded
 
 SHARD_IDS = 1 << 20
-ROUNDS = 2
 RULES_A_ROUND = 7000
 LEAST_COUNT = 12
 _TABLE_BITS = 20
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols, rules (n, 2), first nonterminal)."""
     first = int(ids.max()) + 1 if len(ids) else 0
     seq, rules, top = ids.astype(np.uint32), [], first
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         kind, half, odd = (np.uint32, 16, 0x9E3779B1) if top <= 1 << 16 else (np.uint64, 32, 0x9E3779B97F4A7C15)  # narrow keys sort faster
         keys = (seq[:-1].astype(kind, copy=False) << kind(half)) | seq[1:]
         ordered = np.sort(keys)
         new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(new, len(ordered)))
         often = np.flatnonzero(counts >= LEAST_COUNT)
-        if not len(often):
+        room = (1 << 24) - top  # symbols have 24 bits in the file
+        if not len(often) or room <= 0:
             break
-        often = often[np.argsort(-counts[often], kind="stable")[:RULES_A_ROUND]]
+        often = often[np.argsort(-counts[often], kind="stable")[: min(RULES_A_ROUND, room)]]
         pairs = ordered[new[often]]
         # a table by hash finds the chosen pairs; of two that fall on one place the more frequent stays
         shift = kind(2 * half - _TABLE_BITS)

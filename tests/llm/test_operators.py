@@ -246,6 +246,16 @@ def test_token_shards(spark, table, rows, empty, monkeypatch):
     assert grammar.read_shards(grammar.encode_to_shards(empty, path, 0)).count() == 0
 
 
+def test_grammar_replaces_until_nothing_is_frequent():
+    r = np.random.default_rng(4)
+    for ids in (np.tile(r.integers(0, 50000, 2000), 100), np.zeros(5000, np.int64), np.tile([1, 2, 2, 1, 1], 700)):
+        seq, rules, first = grammar.compress(ids.astype(np.uint32))
+        pairs, counts = np.unique(np.column_stack([seq[:-1], seq[1:]]), axis=0, return_counts=True)
+        assert len(seq) < len(ids) / 40 and (not len(counts) or counts.max() < grammar.LEAST_COUNT)
+        flat, where = grammar.expansions(rules, first)
+        assert np.array_equal(grammar._expand(seq.astype(np.int64), flat, where, first)[0], ids)
+
+
 def test_grammar_round_trip_and_random_access():
     r = np.random.default_rng(4)
     for ids in (np.zeros(0, np.uint32), np.zeros(5000, np.uint32), r.integers(0, 50000, 3000).astype(np.uint32), np.tile(r.integers(0, 70000, 37), 300).astype(np.uint32), r.zipf(1.3, 20000).clip(0, 60000).astype(np.uint32)):
