@@ -7,6 +7,7 @@ only; a logistic unit scores the weighted passage representation.
 
 The model is fitted on the driver on at most SAMPLE labelled documents (those with the least hashes of their ids), with
 at most MOST_PASSAGES passages of each, spread evenly; scoring uses every passage. The model has a fixed size.
+Of rows that share a sampled id, the one whose text has the least hash is taken.
 
 Defined cases: a null or empty text is one passage of zero features and gets a score like any other; labels with a null
 id or label count for nothing; of a repeated label the mean decides; a row with a null id is scored, and isn't in the
@@ -144,6 +145,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     known = known.groupBy("id").agg((F.avg("y") >= 0.5).cast("double").alias("y")).where(~held_out("id"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)  # a bounded number of ids
     own = documents.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    own = own.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")).select("id", "y", "first.text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,8 +159,8 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
                     data.append(bag.astype(np.float16).tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("y").slice(i, j - i), pa.array(data, pa.binary())], ["id", "y", "x"])
 
-    rows = own.mapInArrow(encode, "id long, y double, x binary").limit(2 * SAMPLE).collect()  # ids may repeat
-    rows.sort(key=lambda r: (r.id, r.x))
+    rows = own.mapInArrow(encode, "id long, y double, x binary").collect()  # a row for each id
+    rows.sort(key=lambda r: r.id)
     bags = [np.frombuffer(r.x, np.float16).reshape(-1, WIDTH) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
     x = np.concatenate(bags).astype(np.float32) if bags else np.zeros((0, WIDTH), np.float32)

@@ -353,6 +353,18 @@ def test_quality(spark, empty):
     assert quality.score(empty, quality.train(empty, labels)).count() == 0
 
 
+def test_quality_takes_one_row_of_each_sampled_id(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    sizes = []
+    monkeypatch.setattr(quality, "fit", lambda x, first, y: sizes.append((len(y), x.tobytes(), y.tolist())))
+    rows = [(i, f"text {i} of its own") for i in range(40)] + [(i, f"copy {j} " * 5) for i in (3, 7, 8) for j in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for seed, parts in ((1, 2), (2, 7)):
+        random.Random(seed).shuffle(rows)
+        quality.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), labels)
+    assert sizes[0][0] == 20 and sizes[0] == sizes[1]
+
+
 def test_gradient_is_the_losss():
     r = np.random.default_rng(1)
     x, first, y = r.normal(size=(30, quality.WIDTH)).astype(np.float32), np.array([0, 4, 9, 18, 30]), np.array([0, 1, 1, 0], np.float32)
