@@ -177,6 +177,9 @@ class Dfa:
                 row.append(known[to])
             rows.append(row)
         self.table, self.accepts = self._minimal(np.array(rows), np.array([bool(m) for m in masks], np.int64) if search else np.array(masks, np.int64))
+        self.live = self.accepts.copy()  # the rules that can still be met from each state
+        while not np.array_equal(further := self.live | np.bitwise_or.reduce(self.live[self.table], axis=1), self.live):
+            self.live = further
         dead = [s for s in range(len(self.table)) if not self.accepts[s] and (self.table[s] == s).all()]
         self.dead = dead[0] if dead else -1
 

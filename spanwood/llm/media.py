@@ -2,8 +2,8 @@
 
 An Aho-Corasick automaton of all formats' magic bytes runs once over each value; at every place that it reports,
 that format's validator checks structure and lengths. What is confirmed at byte 0 and fills the value corrects the
-declared type; what is confirmed elsewhere is embedded media, which is carved out (an inner file of one that is
-already carved isn't listed again).
+declared type; what is confirmed elsewhere is embedded media (an inner file of one that is already listed isn't listed
+again), whose bytes `carve_media` gives.
 
 `store_as_wav` makes the media column that the registered query sniffs: a text's UTF-8 bytes, padded with byte 32
 to a positive multiple of UNIT, as unsigned 8-bit samples of a mono WAV file.
@@ -251,6 +251,19 @@ def sniff_media(df: DataFrame, media: str = "media", declared: str | None = None
     return out.withColumn("corrected", ~F.col("media_type").eqNullSafe(F.col(f"`{declared}`")) if declared else F.lit(None).cast("boolean"))
 
 
+def carve_media(df: DataFrame, media: str = "media") -> DataFrame:
+    """A row for each embedded file that sniff_media found in `media`, with the other columns of df and kind, start, length and data (its bytes)."""
+    new = ("kind", "start", "length", "data")
+    found = df.select(F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(df.columns))).alias("row"), F.explode("embedded").alias("x"), F.col(f"`{media}`").cast("binary").alias("media_"))
+    kept = [F.col(f"row.k{i}").alias(c) for i, c in enumerate(df.columns) if c not in (*new, media, "embedded")]
+    return found.select(*kept, "x.kind", "x.start", "x.length", part_of(F.col("media_"), F.col("x")).alias("data"))
+
+
+def part_of(media, found):
+    """The bytes of one embedded file."""
+    return F.substring(media, (found.start + 1).cast("int"), found.length.cast("int"))
+
+
 def read_back(df: DataFrame, media: str = "media") -> DataFrame:
     """df and, of the WAV values among `media`, payload (the samples' bytes) and feature (of those; null for others)."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .decontaminate import find_leaks
 from .grammar import encode_to_shards, read_shards
 from .line_dedup import drop_repeated_lines
-from .media import read_back, sniff_media, texts_to_media
+from .media import part_of, read_back, sniff_media, texts_to_media
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import score, train
@@ -40,11 +40,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as WAV files, whose declared type is left to the sniffer; the payload is what the files' samples hold."""
-    media = texts_to_media(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media")
-    found = read_back(sniff_media(media))
+    """Texts as WAV files, declared as what they were and corrected by the sniffer; the payload is what the files' samples hold."""
+    media = texts_to_media(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media", F.lit("text/plain").alias("declared"))
+    found = read_back(sniff_media(media, declared="declared"))
     tail = F.expr("substring(payload, length(payload) - 15, 16)")
-    embedded = F.concat_ws("+", F.transform("embedded", lambda x: F.concat(x.kind, F.lit("@"), x.start.cast("string"), F.lit(":"), x.length.cast("string"))))
+    embedded = F.concat_ws("+", F.transform("embedded", lambda x: F.concat(x.kind, F.lit("@"), x.start.cast("string"), F.lit(":"), x.length.cast("string"), F.lit("#"), F.crc32(part_of(F.col("media"), x)).cast("string"))))
+    kind = F.concat("media_type", F.when(F.col("corrected"), F.concat(F.lit(" not "), "declared")).otherwise(""))
     return found.select(
         "doc_id",
         "n_bytes",
@@ -53,7 +54,7 @@ def op5_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(tail).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat("media_type", F.lit(" "), "feature", F.lit(" embedded="), embedded).alias("feature"),
+        F.concat(kind, F.lit(" "), "feature", F.lit(" embedded="), embedded).alias("feature"),
     )
 
 

@@ -3,7 +3,8 @@
 All rules' regular expressions become one minimal automaton (see `automata`). No rule spans a line break, so the
 lines of a batch are scanned beside each other: one step reads one byte of every line, with two array look-ups,
 whatever the number of rules. Lines on which some rule ends in an accepting state (few) are then walked with the
-anchored automaton of the same rules, which gives each kind's leftmost, longest, non-overlapping spans.
+anchored automaton of the same rules, which gives each kind's leftmost, longest, non-overlapping spans. A walk stops
+where no kind that is free can be met any more, and where an earlier one passed in the same state in vain.
 
 Spans of the kinds assign, access and hex are those of the fixed patterns below that are long enough; a match that
 is too short is dropped, but what it covers isn't looked at again for its kind. The other kinds are added.
@@ -62,6 +63,7 @@ class Scanner:
         self.accept[list(self.accepting)] = True
         self.one_list = self.flat.tolist()
         self.walk = [[None if t == self.exact.dead else t for t in row] for row in self.exact.table[:, self.exact.classes].tolist()]
+        self.live = self.exact.live.tolist()
         self.ends = [[i for i in range(len(rules)) if m >> i & 1] for m in self.exact.accepts.tolist()]
         self.starts = np.array([x is not None for x in self.walk[0]])
         self.seen: dict[bytes, list] = {}
@@ -91,19 +93,25 @@ class Scanner:
         """(start, rule, end) in bytes."""
         if (known := self.seen.get(line)) is not None:
             return known
-        found = []
-        free = [0] * len(self.rules)
+        found, free = [], [0] * len(self.rules)
+        fruitless: dict[int, int] = {}  # by place, the state in which a walk passed it that met no rule from there on
         places = np.flatnonzero(self.starts[np.frombuffer(line, np.uint8)]).tolist() if line else []
         for at in places:
-            if at < min(free):
-                continue
-            s, last = 0, {}
+            active = sum(1 << r for r, end in enumerate(free) if at >= end)
+            s, last, passed, over = 0, {}, [], True
             for p in range(at, len(line)):
                 s = self.walk[s][line[p]]
-                if s is None:
+                if s is None or fruitless.get(p) == s:
                     break
+                if not self.live[s] & active:
+                    over = False
+                    break
+                passed.append(s)
                 for r in self.ends[s]:
                     last[r] = p + 1
+            if over:
+                barren = max(last.values(), default=at) - at
+                fruitless.update(enumerate(passed[barren:], at + barren))
             for r, end in last.items():
                 if at >= free[r]:
                     free[r] = end
@@ -111,9 +119,10 @@ class Scanner:
                     if end - self._value(rule, line, at, end) >= rule.least:
                         found.append((at, r, end))
         found.sort()
-        if len(self.seen) > 20_000:
-            self.seen.clear()
-        self.seen[line] = found
+        if len(line) <= LONG_LINE:
+            if len(self.seen) > 20_000:
+                self.seen.clear()
+            self.seen[line] = found
         return found
 
     @staticmethod
@@ -152,13 +161,11 @@ def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
                 start = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
                 end = np.append(start[1:], len(buf))
                 out = [[] for _ in range(j - i)]
+                points_at = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
                 for k in np.flatnonzero(scan.flagged(buf, start, end)):
                     doc = int(np.searchsorted(offsets, start[k], "right")) - 1
                     if found := scan.spans(buf[start[k] : end[k]].tobytes()):
-                        before = buf[offsets[doc] : start[k]]
-                        skip = int(np.count_nonzero((before & 0xC0) != 0x80))
-                        line = buf[start[k] : end[k]]
-                        points = np.concatenate([[0], np.cumsum((line & 0xC0) != 0x80)]) + skip
+                        points = points_at[start[k] : end[k] + 1] - points_at[offsets[doc]]
                         out[doc] += [{"kind": scan.rules[r].kind, "start": int(points[s]), "end": int(points[e])} for s, r, e in found]
                 yield pa.RecordBatch.from_arrays([b.column("row").slice(i, j - i), pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], ["row", "spans"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from spanwood.llm import decontaminate, grammar, line_dedup, media, near_dedup, packing, quality, secrets, substring_dedup, tokens, url_filter, words
+from spanwood.llm import decontaminate, grammar, line_dedup, media, near_dedup, packing, quality, queries, secrets, substring_dedup, tokens, url_filter, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -312,14 +312,22 @@ def test_media_sniffing(spark):
 
     wav = media.store_as_wav(b"hello")
     broken = png()[:-6] + b"\0" * 6
-    values = {"wav": wav, "png": png(), "gz": gzip.compress(b"abc"), "text": b"BM and RIFF and PK\x03\x04", "inside": b"junk" + png() + b"more" + gzip.compress(b"x"), "broken": broken, "in wav": media.store_as_wav(png(200)), "empty": b"", "null": None}
+    values = {"wav": wav, "png": png(), "gz": gzip.compress(b"abc", mtime=0), "text": b"BM and RIFF and PK\x03\x04", "inside": b"junk" + png() + b"more" + gzip.compress(b"x", mtime=0), "broken": broken, "in wav": media.store_as_wav(png(200)), "empty": b"", "null": None}
     df = spark.createDataFrame([(k, v, "image/png") for k, v in values.items()], "name string, media binary, declared string").selectExpr("*", "1 AS row", "2 AS embedded")
     got = {r.name: r for r in media.sniff_media(df, declared="declared").collect()}
     assert {k: r.media_type for k, r in got.items()} == {"wav": "audio/wav", "png": "image/png", "gz": "application/gzip", "text": media.UNKNOWN, "inside": media.UNKNOWN, "broken": media.UNKNOWN, "in wav": "audio/wav", "empty": media.UNKNOWN, "null": None}
     assert not got["png"].corrected and got["wav"].corrected
-    assert [(x.kind, x.start, x.length) for x in got["inside"].embedded] == [("image/png", 4, len(png())), ("application/gzip", 8 + len(png()), len(gzip.compress(b"x")))]
+    assert [(x.kind, x.start, x.length) for x in got["inside"].embedded] == [("image/png", 4, len(png())), ("application/gzip", 8 + len(png()), len(gzip.compress(b"x", mtime=0)))]
     assert [(x.kind, x.start) for x in got["in wav"].embedded] == [("image/png", 44)]
     assert not got["text"].embedded and not got["broken"].embedded
+    carved = media.carve_media(media.sniff_media(df.withColumn("kind", df.name), declared="declared"))
+    assert carved.columns == ["name", "declared", "row", "media_type", "corrected", "kind", "start", "length", "data"]
+    assert {(r.name, r.kind, bytes(r.data)) for r in carved.collect()} == {("inside", "image/png", png()), ("inside", "application/gzip", gzip.compress(b"x", mtime=0)), ("in wav", "image/png", png(200))}
+
+
+def test_media_query_corrects_the_declared_type(spark, sf_dir):
+    for r in queries.op5_media_sniffing(spark, sf_dir).select("feature").distinct().collect():
+        assert r.feature.startswith("audio/wav not text/plain pcm_u8 ")
 
 
 def test_media_round_trip(table, rows):
@@ -476,5 +484,40 @@ def test_secrets(spark):
     assert {"pem", "github"} <= kinds
 
 
+def test_secrets_of_lines_of_any_kind():
+    r = random.Random(13)
+    parts = ["eyJ", ".", "eyJa", "-", "_", "xoxb-", "ghp_", "AKIA", "0f", "token=", "zz9", " "]
+    scan = secrets.Scanner()
+    for _ in range(1500):
+        line = "".join(r.choice(parts) for _ in range(r.randrange(1, 40)))
+        want = []
+        for k, rule in enumerate(secrets.RULES):
+            for m in re.finditer(f"(?i:{rule.pattern})" if rule.fold else rule.pattern, line):
+                if m.end() - scan._value(rule, line.encode(), m.start(), m.end()) >= rule.least:
+                    want.append((m.start(), k, m.end()))
+        assert scan.spans(line.encode()) == sorted(want)
+
+
+@pytest.mark.parametrize("part", ["0123456789abcdef", "eyJ", "eyJa.eyJ", "AKIA", "xoxb-", "ghp_", "-----BEGIN ", "password ", "token"])
+def test_secret_scans_take_time_in_proportion_to_a_line(part):
+    scan = secrets.Scanner()
+    steps = []
+    scan.walk = [_Counted(row, steps) for row in scan.walk]
+    scan.spans((part * 3000).encode())
+    assert len(steps) < 20 * 3000 * len(part)
+
+
+class _Counted(list):
+    """A list that notes each look-up."""
+
+    def __init__(self, values, steps):
+        super().__init__(values)
+        self.steps = steps
+
+    def __getitem__(self, i):
+        self.steps.append(i)
+        return super().__getitem__(i)
+
+
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
