@@ -1,7 +1,5 @@
 """The node table with its operators as methods, and the functions that SQL can call."""
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -10,7 +8,6 @@ from .functions import columns
 from .operators import navigate, sinks
 from .plans.compile import select
 from .sources import files, tables
-from .sources.tree import rows
 from .types import DOCUMENT, NODES
 
 
@@ -86,9 +83,9 @@ class _Parse:
     """Rows of the node table that a content holds."""
 
     def eval(self, doc_id: str, content: bytes, form: str):
-        for n, root in enumerate(files.parse_bytes(bytes(content), form)):
-            for r in rows(root, doc_id, n):
-                yield (*r[:13], None if r[13] is None else Decimal(r[13]), *r[14:])
+        batch = files.flattened([(doc_id, bytes(content))], form, False, False)
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            yield row
 
 
 def register(spark: SparkSession) -> None:

@@ -12,6 +12,8 @@ import uuid
 from decimal import ROUND_HALF_EVEN, Decimal
 from typing import Any, NamedTuple
 
+import numpy as np
+
 from ..types import TYPES, name_of, raw_of
 
 
@@ -38,6 +40,9 @@ def _invalid(code: str, value: str) -> ValueError:
 
 # ---- bytes to values
 
+_PLAIN = re.compile(rb'[ !#-\[\]-~]*\0')  # a null-terminated string whose text form is the same between quotes
+_SPECIAL = re.compile(r'[\x00-\x1f"\\\x7f]')
+
 
 def _escaped(s: str, raw: bytes | None = None) -> str:
     named = {"\n": "\\n", "\r": "\\r", "\\": "\\\\", '"': '\\"'}
@@ -142,6 +147,26 @@ def decode(code: str, data: bytes) -> Value:
     return Value(s=shown, text=shown)
 
 
+def decode_all(code: str, data: list[bytes]) -> tuple[Any, list[str]]:
+    """The values, of the kind that the type has, and the text forms of many data of one type."""
+    t = TYPES[code]
+    if t.kind == "s":
+        if t.family == "container":
+            return [""] * len(data), [""] * len(data)
+        if t.family == "c string" and all(map(_PLAIN.fullmatch, data)):
+            plain = [d[:-1].decode() for d in data]
+            return plain, [f'"{x}"' for x in plain]
+    elif t.family in ("bool", "unsigned", "signed", "float") and all(len(d) == t.width for d in data):
+        kind = {"signed": "i", "float": "f"}.get(t.family, "u")
+        values = np.frombuffer(b"".join(data), f">{kind}{t.width}")
+        if kind != "f" and not (t.family == "bool" and (values > 1).any()):
+            return values, [str(x) for x in values.tolist()]
+        if kind == "f" and np.isfinite(values).all():
+            return values.astype(np.float64), [f"%.{8 if t.width == 4 else 17}E" % x for x in values.tolist()]
+    each = [decode(code, d) for d in data]
+    return [v.s if t.kind == "s" else getattr(v, t.kind) for v in each], [v.text for v in each]
+
+
 # ---- text to bytes
 
 _INTEGER = re.compile(r"([+-]?)(?:0[xX]((?:_?[0-9a-fA-F])+)|0[bB]((?:_?[01])+)|0[oO]?((?:_?[0-7])+)|(0|[1-9](?:_?[0-9])*))")
@@ -150,6 +175,8 @@ _RADIX = {2: 16, 3: 2, 4: 8, 5: 10}
 
 def integer(s: str) -> int:
     """An integer with an optional base prefix; a leading 0 alone means octal."""
+    if s.isascii() and s.isdigit() and (s[0] != "0" or len(s) == 1):
+        return int(s)
     m = _INTEGER.fullmatch(s)
     if not m:
         raise ValueError(s)
@@ -207,6 +234,8 @@ def pack_fraction(code: str, num: int, den: int, half: int, signed: bool) -> byt
 
 def unescape(code: str, s: str) -> str:
     """The text between the quotes without escapes; a lone ``\\xHH`` is the code point HH."""
+    if not _SPECIAL.search(s):
+        return s
     out, i = [], 0
     while i < len(s):
         c = s[i]

@@ -147,13 +147,10 @@ def escaped(s: Column) -> Column:
     out = s
     for plain, named in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
         out = F.replace(out, F.lit(plain), F.lit(named))
-    rest = r"[\x00-\x09\x0B\x0C\x0E-\x1F\x7F]"
-    return F.concat(F.lit('"'), F.when(s.rlike(rest), _escape_rest(s)).otherwise(out), F.lit('"'))
-
-
-@pandas_udf(T.StringType())
-def _escape_rest(s: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else codec.decode("CSTR", codec.encode_value("CSTR", x)).text[1:-1] for x in s])
+    rest = out
+    for c in (*range(10), 11, 12, *range(14, 32), 127):
+        rest = F.replace(rest, F.lit(chr(c)), F.lit(f"\\x{c:02X}"))
+    return F.concat(F.lit('"'), F.when(s.rlike(r"[\x00-\x09\x0B\x0C\x0E-\x1F\x7F]"), rest).otherwise(out), F.lit('"'))
 
 
 def value(code: str, data: Column) -> Column:

@@ -29,12 +29,25 @@ def to_text(nodes: DataFrame) -> DataFrame:
     return out.withColumn("body", F.concat("body", F.lit(LINE)))
 
 
+def _sized(nodes: DataFrame, **more: Column) -> DataFrame:
+    """(doc_id, root_ord, node_id, length, ...): bytes of each node in the binary form, and other columns of it.
+
+    A running sum over a document's nodes, in which each container shows up again behind its last descendant, so all is
+    done within one partitioning by document.
+    """
+    own = F.octet_length("data").cast("long") + 12
+    value = F.struct(F.lit(True).alias("is"), *(c.alias(k) for k, c in more.items()))
+    one = nodes.select(*DOCUMENT, "node_id", F.col("node_id").alias("at"), own.alias("own"), value.alias("more"))
+    ends = nodes.where("type = 'CONT'").select(*DOCUMENT, "node_id", F.col("last_desc").alias("at"), F.lit(0).cast("long").alias("own"))
+    both = one.withColumn("is_end", F.lit(False)).unionByName(ends.withColumn("is_end", F.lit(True)), allowMissingColumns=True)
+    summed = both.withColumn("upto", F.sum("own").over(Window.partitionBy(*DOCUMENT).orderBy("at", "is_end")))
+    out = summed.groupBy(*DOCUMENT, "node_id").agg((F.max("upto") - F.min("upto") + F.max("own")).alias("length"), F.first("more", ignorenulls=True).alias("more"))
+    return out.select(*DOCUMENT, "node_id", "length", *(F.col("more")[k].alias(k) for k in more))
+
+
 def encoded_lengths(nodes: DataFrame) -> DataFrame:
     """(doc_id, root_ord, node_id, length): bytes of each node in the binary form, header and descendants included."""
-    own = F.octet_length("data") + 12
-    sums = nodes.select(*DOCUMENT, "node_id", "last_desc", own.cast("long").alias("own"), F.sum(own.cast("long")).over(Window.partitionBy(*DOCUMENT).orderBy("node_id")).alias("upto"))
-    last = sums.select(*DOCUMENT, F.col("node_id").alias("last_desc"), F.col("upto").alias("to_last"))
-    return sums.join(last, [*DOCUMENT, "last_desc"]).select(*DOCUMENT, "node_id", (F.col("to_last") - F.col("upto") + F.col("own")).alias("length"))
+    return _sized(nodes)
 
 
 def document_lengths(nodes: DataFrame) -> DataFrame:
@@ -44,9 +57,9 @@ def document_lengths(nodes: DataFrame) -> DataFrame:
 
 def to_binary(nodes: DataFrame) -> DataFrame:
     """(doc_id, root_ord, body): header, data and children of each node, in pre-order."""
-    sized = nodes.join(encoded_lengths(nodes), [*DOCUMENT, "node_id"])
-    piece = F.concat(F.lpad(F.hex("length"), 8, "0"), F.lpad(F.hex("name_u32"), 8, "0"), F.hex(F.encode("type", "ISO-8859-1")), F.hex("data"))
-    parts = sized.select(*DOCUMENT, F.col("node_id").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), piece.alias("piece"))
+    rest = F.concat(F.lpad(F.hex("name_u32"), 8, "0"), F.hex(F.encode("type", "ISO-8859-1")), F.hex("data"))
+    piece = F.concat(F.lpad(F.hex("length"), 8, "0"), "rest")
+    parts = _sized(nodes, rest=rest).select(*DOCUMENT, F.col("node_id").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), piece.alias("piece"))
     return _joined(parts, "body", "").withColumn("body", F.unhex("body"))
 
 

@@ -7,6 +7,8 @@ from ..types import TYPES
 from .tree import Node
 
 HEADER = 12
+_HEAD = struct.Struct(">I4s4s")
+_CODES = {code.encode(): code for code in TYPES}
 
 
 class BinaryError(ValueError):
@@ -21,8 +23,8 @@ def read_binary(data: bytes, strict: bool = False) -> list[Node]:
     while at < len(data):
         if at + HEADER > len(data):
             raise BinaryError(f"header cut short at byte {at}")
-        size, raw, code = struct.unpack_from(">I4s4s", data, at)
-        code = code.decode("latin-1")
+        size, raw, code = _HEAD.unpack_from(data, at)
+        code = _CODES.get(code) or code.decode("latin-1")
         if size < HEADER:
             raise BinaryError(f"size {size} at byte {at} is less than a header's")
         end = at + size

@@ -13,11 +13,13 @@ from pyspark.sql import types as T
 
 from ..types import NODES
 from .binary import BinaryError, read_binary, read_hex
-from .text import TextError, read_text
-from .tree import Node, rows
+from .text import read_text
+from .tree import Flat, Node
 from .xml import read_xml
 
 READERS = ("auto", "binary", "hex", "text", "xml")
+BATCH_BYTES = 1 << 18  # of documents that are decoded together
+MOST_ROWS = 10_000
 
 
 def parse_bytes(data: bytes, form: str = "auto", strict: bool = False) -> list[Node]:
@@ -44,35 +46,55 @@ def parse_bytes(data: bytes, form: str = "auto", strict: bool = False) -> list[N
     raise ValueError(f"unknown form {form}; one of {READERS}")
 
 
-def _arrow_schema() -> pa.Schema:
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string()), "binary": pa.binary(), "decimal(20,0)": pa.decimal128(20, 0), "double": pa.float64()}
-    return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in NODES] + [("error", pa.string())])
+def flattened(documents: list[tuple[str, bytes]], form: str, exactly_one: bool, strict: bool) -> pa.RecordBatch:
+    """The rows of all trees of some documents (id, content)."""
+    out = Flat()
+    for key, data in documents:
+        try:
+            roots = parse_bytes(data, form, strict)
+            if exactly_one and len(roots) != 1:
+                raise BinaryError("no nodes found" if not roots else f"{len(roots)} top-level nodes where one is wanted")
+        except ValueError as e:
+            raise ValueError(f"{key}: {e}") from e
+        for n, root in enumerate(roots):
+            out.add(root, key, n)
+    return out.batch()
 
 
 def parse_column(df: DataFrame, doc_id: str, content: str, form: str = "auto", exactly_one: bool = False, strict: bool = False, errors: str = "fail") -> DataFrame:
     """The nodes of the trees that a binary or string column holds, one document a row."""
     schema = T.StructType([*NODES.fields, T.StructField("error", T.StringType())])
-    arrow = _arrow_schema()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from decimal import Decimal
+    def tried(documents: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+        """The documents' rows; if some can't be read, each document is tried by itself."""
+        try:
+            out = flattened(documents, form, exactly_one, strict)
+            out = pa.RecordBatch.from_arrays([*out.columns, pa.nulls(len(out), pa.string())], [*out.schema.names, "error"])
+        except ValueError as e:
+            if len(documents) > 1:
+                for one in documents:
+                    yield from tried([one])
+                return
+            key = documents[0][0]
+            message = str(e).removeprefix(f"{key}: ")
+            if errors != "row":
+                raise ValueError(f"{key}: {message}") from e
+            kinds = Flat().batch().schema
+            out = pa.RecordBatch.from_arrays([pa.array([key], pa.string()), *(pa.nulls(1, f.type) for f in list(kinds)[1:]), pa.array([message], pa.string())], [*kinds.names, "error"])
+        for k in range(0, len(out), MOST_ROWS):
+            yield out.slice(k, MOST_ROWS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(len(b)):
-                key, data = b.column(0)[i].as_py(), b.column(1)[i].as_py() or b""
-                try:
-                    roots = parse_bytes(data, form, strict)
-                    if exactly_one and len(roots) != 1:
-                        raise BinaryError("no nodes found" if not roots else f"{len(roots)} top-level nodes where one is wanted")
-                    found = [(*r, None) for n, root in enumerate(roots) for r in rows(root, key, n)]
-                except (BinaryError, TextError, ValueError) as e:
-                    if errors != "row":
-                        raise ValueError(f"{key}: {e}") from e
-                    found = [(key, *[None] * (len(NODES) - 1), str(e))]
-                for k in range(0, len(found), 10_000):
-                    columns = list(zip(*found[k : k + 10_000]))
-                    columns[13] = tuple(None if x is None else Decimal(x) for x in columns[13])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
+            held, size = [], 0
+            for key, data in zip(b.column(0), b.column(1)):
+                held.append((key.as_py(), data.as_py() or b""))
+                size += len(held[-1][1])
+                if size >= BATCH_BYTES:
+                    yield from tried(held)
+                    held, size = [], 0
+            if held:
+                yield from tried(held)
 
     out = df.select(F.col(doc_id).cast("string"), F.col(content).cast("binary")).mapInArrow(run, schema)
     return out if errors == "row" else out.drop("error")
