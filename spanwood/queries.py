@@ -152,24 +152,39 @@ _REGION_TEXT = """SELECT r_regionkey AS id, 'REGN:CONT:' || chr(10) || chr(9) ||
  || coalesce(string_agg(chr(9) || 'NATN:CONT:' || chr(10) || chr(9) || chr(9) || 'NKEY:UI32:' || n_nationkey || chr(10) || chr(9) || chr(9) || 'NNAM:CSTR:"' || n_name || '"' || chr(10) || chr(9) || 'END' || chr(10), '' ORDER BY n_nationkey), '') || 'END' || chr(10) AS body
 FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name"""
 _add("marshal_text", _REGION_TEXT, lambda spark, d: regions(spark, d).to_text().selectExpr(ID, "body"))
+# an IEEE number's bits, from its exponent and fraction: 52 bits after the leading one, both exact
+_RETAIL_BITS = "CAST(floor(log2(p_retailprice)) + 1023 AS BIGINT) * 4503599627370496 + CAST(p_retailprice / pow(2, floor(log2(p_retailprice)) - 52) AS BIGINT) - 4503599627370496"
 _PART_BINARY = " || ".join(
     ["printf('%08X', {total})", "'50415254434F4E54'"]
     + ["'00000014504B455953493634' || printf('%016X', p_partkey)"]
     + [f"printf('%08X', 13 + strlen({c})) || '{n.encode().hex().upper()}43535452' || upper(hex(encode({c}))) || '00'" for n, c in (("PNAM", "p_name"), ("BRND", "p_brand"), ("PTYP", "p_type"))]
     + ["'0000001053495A4555493332' || printf('%08X', p_size)"]
-).replace("{total}", "12 + 20 + 39 + strlen(p_name) + strlen(p_brand) + strlen(p_type) + 16")
-_small_part = lambda spark, d: Forest.of_table("PART", _table(spark, d, "part"), F.col("p_partkey"), _fields("PKEY:SI64:p_partkey PNAM:CSTR:p_name BRND:CSTR:p_brand PTYP:CSTR:p_type SIZE:UI32:p_size"))
-_add("marshal_binary", f"SELECT p_partkey AS id, {_PART_BINARY} AS body FROM part", lambda spark, d: _small_part(spark, d).to_binary().selectExpr(ID, "hex(body) AS body"))
-_add("marshal_hex", f"SELECT p_partkey AS id, '0x' || {_PART_BINARY} AS body FROM part", lambda spark, d: _small_part(spark, d).to_hex().selectExpr(ID, "body"))
+    + [f"'000000145245544C46503634' || printf('%016X', {_RETAIL_BITS})"]
+).replace("{total}", "12 + 20 + 39 + strlen(p_name) + strlen(p_brand) + strlen(p_type) + 16 + 20")
+_add("marshal_binary", f"SELECT p_partkey AS id, {_PART_BINARY} AS body FROM part", lambda spark, d: parts(spark, d).to_binary().selectExpr(ID, "hex(body) AS body"))
+_add("marshal_hex", f"SELECT p_partkey AS id, '0x' || {_PART_BINARY} AS body FROM part", lambda spark, d: parts(spark, d).to_hex().selectExpr(ID, "body"))
+_atom = lambda depth, name, code, column: f"repeat(chr(9), {depth}) || '<atom name=\"{name}\" type=\"{code}\" value=\"' || {column} || '\"></atom>' || chr(10)"
+_open = lambda depth, name: f"repeat(chr(9), {depth}) || '<container name=\"{name}\">' || chr(10)"
+_close = lambda depth: f"repeat(chr(9), {depth}) || '</container>' || chr(10)"
 _add(
     "marshal_xml",
-    """SELECT r_regionkey AS id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<containerxml version="1">' || chr(10) || chr(9) || '<container name="REGN">' || chr(10) || chr(9) || chr(9) || '<atom name="RKEY" type="UI32" value="' || r_regionkey || '"></atom>' || chr(10) || chr(9) || chr(9) || '<atom name="RNAM" type="CSTR" value="' || r_name || '"></atom>' || chr(10) || chr(9) || '</container>' || chr(10) || '</containerxml>' || chr(10) AS body FROM region""",
-    lambda spark, d: Forest.of_table("REGN", _table(spark, d, "region"), F.col("r_regionkey"), _fields("RKEY:UI32:r_regionkey RNAM:CSTR:r_name")).to_xml().selectExpr(ID, "body"),
+    f"""SELECT r_regionkey AS id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<containerxml version="1">' || chr(10) || {_open(1, "REGN")} || {_atom(2, "RKEY", "UI32", "r_regionkey")} || {_atom(2, "RNAM", "CSTR", "r_name")}
+ || coalesce(string_agg({_open(2, "NATN")} || {_atom(3, "NKEY", "UI32", "n_nationkey")} || {_atom(3, "NNAM", "CSTR", "n_name")} || {_close(2)}, '' ORDER BY n_nationkey), '') || {_close(1)} || '</containerxml>' || chr(10) AS body
+FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""",
+    lambda spark, d: regions(spark, d).to_xml().selectExpr(ID, "body"),
 )
 _add(
     "debug_listing",
-    "SELECT r_regionkey AS id, rpad('REGN:CONT:', w, ' ') || chr(10) || rpad('RKEY:UI32:' || r_regionkey, w, ' ') || printf('00 00 00 %02x', r_regionkey) || chr(10) AS body FROM (SELECT *, CAST(11 + strlen(r_regionkey::VARCHAR) AS INTEGER) AS w FROM region)",
-    lambda spark, d: Forest.of_table("REGN", _table(spark, d, "region"), F.col("r_regionkey"), _fields("RKEY:UI32:r_regionkey")).to_debug().selectExpr(ID, "body"),
+    """WITH n AS (
+ SELECT r_regionkey AS id, 0 AS p, 0 AS k, 'REGN:CONT:' AS t, '' AS h FROM region
+ UNION ALL SELECT r_regionkey, 1, 0, 'RKEY:UI32:' || r_regionkey, printf('%08x', r_regionkey) FROM region
+ UNION ALL SELECT r_regionkey, 2, 0, 'RNAM:CSTR:"' || r_name || '"', lower(hex(encode(r_name))) || '00' FROM region
+ UNION ALL SELECT n_regionkey, 3 + 3 * n_nationkey, 0, 'NATN:CONT:', '' FROM nation
+ UNION ALL SELECT n_regionkey, 3 + 3 * n_nationkey, 1, 'NKEY:UI32:' || n_nationkey, printf('%08x', n_nationkey) FROM nation
+ UNION ALL SELECT n_regionkey, 3 + 3 * n_nationkey, 2, 'NNAM:CSTR:"' || n_name || '"', lower(hex(encode(n_name))) || '00' FROM nation),
+w AS (SELECT id, CAST(max(length(t)) + 1 AS INTEGER) AS w FROM n GROUP BY id)
+SELECT id, string_agg(rpad(t, w, ' ') || rtrim(regexp_replace(h, '(..)', '\\1 ', 'g')), chr(10) ORDER BY p, k) || chr(10) AS body FROM n JOIN w USING (id) GROUP BY id""",
+    lambda spark, d: regions(spark, d).to_debug().selectExpr(ID, "body"),
 )
 
 
@@ -179,9 +194,9 @@ def _round_trip(form: str):
     def make(spark, sf_dir):
         written = getattr(orders(spark, sf_dir), f"to_{form}")()
         again = Forest(parse_column(written.select("doc_id", "body"), "doc_id", "body", form, exactly_one=True))
-        keys, quantities = again.path("/ORDR/LINE/PKEY"), again.path("/ORDR/LINE/QTY_")
-        own = keys.select("doc_id", "parent_id", F.col("i").alias("part"))
-        return quantities.join(own, ["doc_id", "parent_id"]).selectExpr(ID, "part", "f AS quantity")
+        found = again.path("/ORDR/LINE/*").where("name IN ('PKEY', 'QTY_')")  # one pass over the documents
+        value = lambda name, column: F.max(F.when(F.col("name") == name, F.col(column)))
+        return found.groupBy("doc_id", "parent_id").agg(value("PKEY", "i").alias("part"), value("QTY_", "f").alias("quantity")).selectExpr(ID, "part", "quantity")
 
     return make
 
