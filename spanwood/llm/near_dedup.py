@@ -43,6 +43,7 @@ SHINGLE = 5
 PERCENT = 85
 COORDINATES = 64
 BLOCK = 512
+SLICES = 64
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
@@ -198,8 +199,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     clusters = _components(listed.where("a != node").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "cluster")
     people = listed.select("node", "n", "part").distinct().join(clusters.hint("merge"), "node")
     people = people.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))  # similar sets are one class apart at most
+    people = written(people.withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(SLICES)).cast("int")), "people")
+    # a cluster's class of more than BLOCK members is dealt by slices of these, so that none of them meets its size in one task
     sizes = people.groupBy("cluster", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("buckets"))
-    people = written(people.join(sizes.hint("merge"), ["cluster", "class"]).withColumn("bucket", F.pmod(F.xxhash64("node"), F.col("buckets")).cast("int")).drop("buckets"), "people")
+    sizes = written(sizes, "sizes")
+    large = sizes.where("buckets > 1").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    bucket = F.when(F.col("buckets").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", F.lit(1)), F.col("buckets"))).cast("int")
+    people = people.join(large.hint("merge"), ["cluster", "class", "slice"], "left").select("cluster", "class", "node", "n", "part", bucket.alias("bucket"))
+    people = written(people, "people")
     block = sizes.select("cluster", "class", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"))
     first, second = block.toDF("cluster", "c1", "b1"), block.toDF("cluster", "c2", "b2")
     meetings = first.join(second.hint("merge"), "cluster").where("c2 = c1 AND b2 >= b1 OR c2 = c1 + 1")
