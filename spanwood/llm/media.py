@@ -16,8 +16,8 @@ values have equal results; columns beside the media's stay, but those named as t
 import hashlib
 import struct
 import zlib
-
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -112,14 +112,21 @@ def _bmp(d: bytes, at: int) -> int:
     return size if not zero and header in (40, 108, 124) and planes == 1 and bits in (1, 4, 8, 16, 24, 32) and at + size <= len(d) and pixels >= 14 + header and pixels + rows <= size and width > 0 and height else 0
 
 
-def _zip(d: bytes, at: int) -> int:
-    p = d.find(b"PK\x05\x06", at)
-    while p >= 0 and p + 22 <= len(d):
+@lru_cache(2)
+def _zip_ends(d: bytes) -> dict[int, int]:
+    """Where archives end, by where they start: each end record names the start itself."""
+    out, p = {}, d.find(b"PK\x05\x06")
+    while 0 <= p <= len(d) - 22:
         n, where, note = struct.unpack_from("<IIH", d, p + 12)
-        if at + where + n == p and p + 22 + note <= len(d) and (n == 0 or d[at + where : at + where + 4] == b"PK\x01\x02"):
-            return p + 22 + note - at
+        at = p - n - where
+        if at >= 0 and p + 22 + note <= len(d) and (n == 0 or d[at + where : at + where + 4] == b"PK\x01\x02"):
+            out.setdefault(at, p + 22 + note)
         p = d.find(b"PK\x05\x06", p + 4)
-    return 0
+    return out
+
+
+def _zip(d: bytes, at: int) -> int:
+    return _zip_ends(d).get(at, at) - at
 
 
 def _gzip(d: bytes, at: int) -> int:
@@ -136,9 +143,16 @@ def _gzip(d: bytes, at: int) -> int:
     return len(d) - at - len(z.unused_data) if z.eof else 0
 
 
+@lru_cache(2)
+def _pdf_end(d: bytes) -> tuple[int, int]:
+    """Where the last end mark stands, and the last cross-reference before it."""
+    end = d.rfind(b"%%EOF")
+    return end, d.rfind(b"startxref", 0, max(0, end))
+
+
 def _pdf(d: bytes, at: int) -> int:
-    end = d.rfind(b"%%EOF", at)
-    return end + 5 - at if end > at and d.rfind(b"startxref", at, end) > at and d[at + 5 : at + 8].replace(b".", b"").isdigit() else 0
+    end, table = _pdf_end(d)
+    return end + 5 - at if end > at and table > at and d[at + 5 : at + 8].replace(b".", b"").isdigit() else 0
 
 
 def _flac(d: bytes, at: int) -> int:

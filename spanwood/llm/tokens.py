@@ -22,6 +22,7 @@ LONGEST = 23  # bytes of the longest pre-token that is remembered: three integer
 MOST = 1 << 20  # remembered pre-tokens, after which the memory starts anew
 SLOTS = 1 << 21
 MOST_IDS = 1 << 23
+SLICE = 1 << 18
 
 #: Letters, digits and white space within Latin-1, and what may follow an apostrophe.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
@@ -233,10 +234,15 @@ class Encoder:
         if self.by_word:
             buf = _SMALL[buf]
         starts, ends = (cut_words if self.by_word else cut_bytes)(buf, offsets)
-        entries = self._entries(buf, starts, ends)
-        first, counts = self.memory.where[entries].T
-        sums = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.memory.pool[np.repeat(first - sums[:-1], counts) + np.arange(sums[-1])].tobytes()
+        sums, parts = np.zeros(len(starts) + 1, np.int64), []
+        for k in range(0, len(starts), SLICE):  # so that a very long text's pre-tokens aren't all at hand at once
+            low, high = starts[k], ends[min(k + SLICE, len(ends)) - 1]
+            entries = self._entries(buf[low:high], starts[k : k + SLICE] - low, ends[k : k + SLICE] - low)
+            first, counts = self.memory.where[entries].T
+            before = np.cumsum(counts) - counts
+            parts.append(self.memory.pool[np.repeat(first - before, counts) + np.arange(counts.sum())].tobytes())
+            sums[k + 1 : k + 1 + len(counts)] = counts
+        sums, ids = np.cumsum(sums), b"".join(parts)
         at = (4 * sums[np.searchsorted(starts, offsets)]).tolist()
         return [ids[s:e] for s, e in zip(at[:-1], at[1:])]
 

@@ -200,6 +200,15 @@ def test_remembered_ids_are_the_librarys(name, rows):
     assert list(tokens.encoded(public_tokenizers.path(name), pa.array(texts))) == want
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_remembered_ids_do_not_depend_on_slices_or_memory(name, rows, monkeypatch):
+    texts = ODD + [t for _, t in rows] + ["don't we'll 'tis " * 50, "x" * 40 + " 'S's"]
+    want = list(tokens.Encoder(public_tokenizers.path(name)).encode([t or "" for t in texts]))
+    monkeypatch.setattr(tokens, "SLICE", 7)
+    monkeypatch.setattr(tokens, "MOST", 20)
+    assert tokens.Encoder(public_tokenizers.path(name)).encode([t or "" for t in texts]) == want
+
+
 def test_packing(spark, table, rows, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     long = spark.createDataFrame([(500, "lorem ipsum dolor " * 4000)], "doc_id long, text string")
@@ -330,6 +339,21 @@ def test_media_query_corrects_the_declared_type(spark, sf_dir):
         assert r.feature.startswith("audio/wav not text/plain pcm_u8 ")
 
 
+def test_archives_and_documents_end_where_they_say():
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(3):
+            z.writestr(f"{i}.txt", "text" * i)
+    archive, pdf = out.getvalue(), b"%PDF-1.4 body startxref 9 %%EOF"
+    magic = media.automaton()
+    assert media.sniff(archive, magic)[0] == ("application/zip", 0, len(archive))
+    assert media.sniff(b"ab" + archive + b"cd" + pdf + b"ef", magic) == [("application/zip", 2, len(archive)), ("application/pdf", 4 + len(archive), len(pdf))]
+    assert media.sniff(b"PK\x03\x04%PDF-1.4" * 100_000, magic) == []
+
+
 def test_media_round_trip(table, rows):
     got = {r.doc_id: r for r in media.read_back(media.sniff_media(media.texts_to_media(table.select("doc_id", "text")))).collect()}
     for i, t in rows:
