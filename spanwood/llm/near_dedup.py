@@ -11,8 +11,8 @@ smaller count, which bounds their similarity; this and the sizes exclude most of
 Each posting list first meets one member only, the one with the fewest shingles of its own (a star, not all pairs).
 Signatures of these pairs are compared; from MATCHES agreeing coordinates on, the full sets are. Confirmed links join
 lists' members to components. Lists that still hold several components hang together in clusters of loosely similar
-documents. Within a cluster the full sets are compared in blocks of BLOCK documents of like size, two blocks a task, and
-each task returns links between different components only, no more than it has documents. So no link that joins two
+documents. Within a cluster the full sets are compared in blocks of BLOCK documents of like size (fewer where these have
+over BLOCK_SHINGLES shingles together, on average over the blocks of that size), two blocks a task, and each task returns links between different components only, no more than it has documents. So no link that joins two
 components is lost, and neither pairs nor a group are ever gathered; the work within one cluster does grow with the
 square of its size, at some ten million pairs a second and core.
 
@@ -43,7 +43,9 @@ SHINGLE = 5
 PERCENT = 85
 COORDINATES = 64
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 22
 SLICES = 64
+SPREAD = 2000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
@@ -140,6 +142,20 @@ def _components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _with_list(posted: DataFrame, lists: DataFrame, count: str, total: int) -> DataFrame:
+    """posted (node, pair, ...) joined with its pair's row in lists, a written table with a row a pair and its `count`.
+
+    A list of more than one in SPREAD of all `total` postings is dealt by slices of its nodes, so that no task gets it
+    whole. There are fewer than SPREAD such lists, whatever the input, which bounds what is broadcast.
+    """
+    long = F.col(count) * F.lit(SPREAD) > F.lit(total)
+    told = lists.where(long).select("pair", F.lit(SLICES).alias("slices"))
+    slice_of = F.when(F.col("slices").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "slices")).cast("int")
+    dealt = posted.join(F.broadcast(told), "pair", "left").withColumn("slice", slice_of).drop("slices")
+    slices = F.when(long, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(lists.withColumn("slice", F.explode(slices)).hint("merge"), ["pair", "slice"]).drop("slice")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row."""
     ship(df.sparkSession)
@@ -155,8 +171,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
     posted = node.select("node", F.posexplode("sig").alias("coordinate", "value"))
     posted = posted.select("node", (F.shiftleft(F.col("coordinate").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF))).alias("pair"))
-    shared = posted.groupBy("pair").agg(F.count("*").alias("freq")).where("freq > 1").hint("merge")
-    held = posted.join(shared, "pair").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "pair"))).alias("held"))
+    shared = written(posted.groupBy("pair").agg(F.count("*").alias("freq")).where("freq > 1"), "lists")
+    held = _with_list(posted, shared, "freq", node.count() * COORDINATES).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "pair"))).alias("held"))
     prefix = held.where(F.size("held") >= matches).select("node", F.explode(F.slice("held", F.lit(1), F.size("held") - matches + 1)).alias("x")).select("node", F.col("x.pair").alias("pair"))
     prefix = written(prefix, "prefix")
 
@@ -177,8 +193,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         return F.lit(100) * most >= least * (n1 + n2 - most)
 
     first = member.groupBy("pair").agg(F.min(F.struct("alone", "node", "n", "common")).alias("x"), F.count("*").alias("members")).where("members > 1")
-    first = first.select("pair", F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("x.common").alias("ca"))
-    star = member.join(first.hint("merge"), "pair").where((F.col("node") != F.col("a")) & possible(F.col("n"), F.col("common"), F.col("na"), F.col("ca")))
+    first = written(first.select("pair", "members", F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("x.common").alias("ca")), "lists")
+    postings = member.count()
+    star = _with_list(member, first, "members", postings).where((F.col("node") != F.col("a")) & possible(F.col("n"), F.col("common"), F.col("na"), F.col("ca")))
     stars = star.select("a", F.col("node").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -194,14 +211,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     labels = _components(links)
     # lists that hold several components hang together in clusters, within which all sets are compared in blocks
     member = written(member.join(labels.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "members")
-    mixed = member.groupBy("pair").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("a")).where("low != high").select("pair", "a")
-    listed = written(member.join(mixed.hint("merge"), "pair").select("node", "n", "part", "a"), "listed")
+    mixed = member.groupBy("pair").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("a"), F.count("*").alias("members"))
+    mixed = written(mixed.where("low != high").select("pair", "a", "members"), "lists")
+    listed = written(_with_list(member, mixed, "members", postings).select("node", "n", "part", "a"), "listed")
     clusters = _components(listed.where("a != node").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "cluster")
     people = listed.select("node", "n", "part").distinct().join(clusters.hint("merge"), "node")
     people = people.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))  # similar sets are one class apart at most
     people = written(people.withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(SLICES)).cast("int")), "people")
     # a cluster's class of more than BLOCK members is dealt by slices of these, so that none of them meets its size in one task
-    sizes = people.groupBy("cluster", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("buckets"))
+    sizes = people.groupBy("cluster", "class").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("buckets"))
     sizes = written(sizes, "sizes")
     large = sizes.where("buckets > 1").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
     bucket = F.when(F.col("buckets").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", F.lit(1)), F.col("buckets"))).cast("int")

@@ -298,6 +298,21 @@ def test_near_duplicates(table, rows, percent):
     assert got == components(rows, percent)
 
 
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    """A loosely similar group much larger than a block, of short and long members, with no list dealt by slices."""
+    for name, value in (("BLOCK", 8), ("BLOCK_SHINGLES", 900), ("SLICES", 4), ("SPREAD", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(70):
+        words = [f"w{j}" for j in range(150 if i % 2 else 400)]
+        for at in r.integers(0, len(words), int(r.integers(1, 5))):
+            words[at] = f"x{r.integers(0, 30)}"
+        rows.append((i, " ".join(words)))
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components(rows, 85)
+
+
 def test_near_duplicates_of_odd_rows(spark, empty):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(5, text), (5, text), (3, text + " x"), (None, text), (7, None), (7, "")], "doc_id long, text string")
