@@ -5,9 +5,14 @@ number and content. `ask` lets each block send each shard one row with the keys
 at all blocks' keys together and gives back one bit for each key, in the order sent. A block sends a key once
 however often it holds it, so a key that fills a third of all rows costs a shard no more than one entry for each
 block, and no task ever gathers a group of documents.
+
+Shards grow in number with the corpus, partitions up to MOST_PARTITIONS only, since a shuffle's bookkeeping grows with
+both of its sides. A partition's questions are sorted by shard (which spills where it must) and answered shard by
+shard, so a task holds one shard's entries, as packed arrays, whatever its partition holds.
 """
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -22,6 +27,8 @@ from .words import pieces
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 32 << 20  # one shard more for so much text
 LEAST_SHARDS = 96
+MOST_PARTITIONS = 1 << 15
+REPLIES = 1 << 12  # replies a batch
 
 
 class Block(NamedTuple):
@@ -87,6 +94,32 @@ def bits_of(told: dict[int, bytes], shard: np.ndarray, n_shards: int) -> np.ndar
     return out
 
 
+def _offsets(packed: pa.Array) -> np.ndarray:
+    wide = pa.types.is_large_binary(packed.type)
+    return np.frombuffer(packed.buffers()[1], np.int64 if wide else np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+
+
+def _packed(packed: pa.Array) -> memoryview:
+    """The bytes of all values, one after the other."""
+    at = _offsets(packed)
+    return memoryview(packed.buffers()[2])[at[0] : at[-1]]
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Each shard with its slices of batches that are sorted by shard, which may end and begin anywhere in one."""
+
+    def slices():
+        for b in batches:
+            shard = b.column("shard").to_numpy()
+            cuts = np.flatnonzero(np.diff(shard)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)]):
+                if j > i:
+                    yield int(shard[i]), b.slice(i, j - i)
+
+    for shard, group in groupby(slices(), key=lambda x: x[0]):
+        yield shard, (b for _, b in group)
+
+
 def ask(table: DataFrame, send: Callable[[Block], Iterator[pa.RecordBatch]], answer: Callable, kinds: list[str], n_shards: int) -> DataFrame:
     """(block, told) rows, written: the shards' answers to each block.
 
@@ -100,26 +133,22 @@ def ask(table: DataFrame, send: Callable[[Block], Iterator[pa.RecordBatch]], ans
             yield from send(block)
 
     def resolve(batches):
-        held: dict[int, list] = {}
-        for b in batches:
-            for shard, *rest in zip(*(b.column(c).to_pylist() for c in ("shard", "block", *names))):
-                held.setdefault(shard, []).append(rest)
-        for shard in sorted(held):
-            rows = sorted(held.pop(shard), key=lambda r: r[0])
-            columns = [np.frombuffer(b"".join(r[1 + i] for r in rows), kind) for i, kind in enumerate(kinds)]
-            sizes = [len(r[1]) // np.dtype(kinds[0]).itemsize for r in rows]
-            numbers = [r[0] for r in rows]
-            del rows
-            yes, at, found, bits = answer(*columns), 0, [], []
-            for number, n in zip(numbers, sizes):
-                if (own := yes[at : at + n]).any():
-                    found.append(number)
-                    bits.append(np.packbits(own).tobytes())
-                at += n
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([shard] * len(bits), pa.int64()), pa.array(bits, pa.binary())], ["block", "shard", "bits"])
+        for shard, parts in _by_shard(batches):
+            parts = list(parts)
+            number = np.concatenate([p.column("block").to_numpy() for p in parts])
+            size = np.concatenate([np.diff(_offsets(p.column("c0"))) for p in parts]) // np.dtype(kinds[0]).itemsize
+            columns = [np.frombuffer(b"".join(_packed(p.column(c)) for p in parts), kind) for c, kind in zip(names, kinds)]
+            del parts
+            yes = answer(*columns)
+            end = np.cumsum(size)
+            some = np.flatnonzero(np.add.reduceat(yes, end - size, dtype=np.int64))
+            for i in range(0, len(some), REPLIES):
+                own = some[i : i + REPLIES]
+                bits = pa.array([np.packbits(yes[e - n : e]).tobytes() for e, n in zip(end[own].tolist(), size[own].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(number[own]), pa.array(np.full(len(own), shard)), bits], ["block", "shard", "bits"])
 
     fields = ", ".join(f"{c} binary" for c in names)
-    replies = table.mapInArrow(outgoing, f"shard long, block long, {fields}").repartition(n_shards, "shard").mapInArrow(resolve, "block long, shard long, bits binary")
+    replies = table.mapInArrow(outgoing, f"shard long, block long, {fields}").repartition(min(n_shards, MOST_PARTITIONS), "shard").sortWithinPartitions("shard", "block").mapInArrow(resolve, "block long, shard long, bits binary")
     return written(replies, "told").groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("told"))
 
 

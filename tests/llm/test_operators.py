@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from spanwood.llm import decontaminate, grammar, line_dedup, media, near_dedup, packing, quality, queries, secrets, substring_dedup, tokens, url_filter, words
+from spanwood.llm import decontaminate, exchange, grammar, line_dedup, media, near_dedup, packing, quality, queries, secrets, substring_dedup, tokens, url_filter, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -442,6 +442,34 @@ def test_line_dedup(spark, table, rows, empty):
     assert sorted((r.doc_id or -1, r.text) for r in line_dedup.drop_repeated_lines(odd).collect()) == [(-1, "a repeated line"), (2, "A repeated LINE "), (5, ""), (5, "own")]
 
 
+def test_shards_are_told_apart_wherever_batches_end():
+    shard = np.repeat([3, 4, 9, 11], [5, 1, 7, 2])
+    values = [bytes([i]) * (i + 1) for i in range(len(shard))]
+    whole = pa.record_batch({"shard": pa.array(shard), "c0": pa.array(values, pa.binary())})
+    for size in (1, 2, 5, 6, 100):
+        got = {s: list(parts) for s, parts in ((s, list(p)) for s, p in exchange._by_shard(whole.slice(i, size) for i in range(0, len(whole), size)))}
+        assert list(got) == [3, 4, 9, 11]
+        for s, parts in got.items():
+            own = [v for v, of in zip(values, shard) if of == s]
+            assert b"".join(bytes(exchange._packed(p.column("c0"))) for p in parts) == b"".join(own)
+            assert np.concatenate([np.diff(exchange._offsets(p.column("c0"))) for p in parts]).tolist() == [len(v) for v in own]
+
+
+def test_many_shards_of_small_blocks_in_few_partitions(spark, table, rows, monkeypatch):
+    monkeypatch.setattr(exchange, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(exchange, "MOST_PARTITIONS", 2)
+    monkeypatch.setattr(exchange, "REPLIES", 3)
+    lines = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.drop_repeated_lines(table).collect()}
+    default = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.drop_repeated_lines(table).collect()} == lines
+        got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.drop_repeated_windows(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", default)
+    assert got == without_repeats(rows)
+
+
 def test_bloom_has_no_false_negatives():
     h = np.random.default_rng(2).integers(0, 1 << 63, 5000).astype(np.uint64)
     bloom = line_dedup.Bloom(2500)
