@@ -120,6 +120,17 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator
         yield shard, (b for _, b in group)
 
 
+def _gathered(parts: Iterator[pa.RecordBatch], names: list[str], kinds: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The blocks of a shard's slices, how many entries each sent, and the columns; no slice is held beyond the next."""
+    number, size, data = [], [], [bytearray() for _ in names]
+    for p in parts:
+        number.append(p.column("block").to_numpy().copy())
+        size.append(np.diff(_offsets(p.column("c0"))))
+        for x, c in zip(data, names):
+            x += _packed(p.column(c))
+    return np.concatenate(number), np.concatenate(size) // np.dtype(kinds[0]).itemsize, [np.frombuffer(x, kind) for x, kind in zip(data, kinds)]
+
+
 def ask(table: DataFrame, send: Callable[[Block], Iterator[pa.RecordBatch]], answer: Callable, kinds: list[str], n_shards: int) -> DataFrame:
     """(block, told) rows, written: the shards' answers to each block.
 
@@ -134,11 +145,7 @@ def ask(table: DataFrame, send: Callable[[Block], Iterator[pa.RecordBatch]], ans
 
     def resolve(batches):
         for shard, parts in _by_shard(batches):
-            parts = list(parts)
-            number = np.concatenate([p.column("block").to_numpy() for p in parts])
-            size = np.concatenate([np.diff(_offsets(p.column("c0"))) for p in parts]) // np.dtype(kinds[0]).itemsize
-            columns = [np.frombuffer(b"".join(_packed(p.column(c)) for p in parts), kind) for c, kind in zip(names, kinds)]
-            del parts
+            number, size, columns = _gathered(parts, names, kinds)
             yes = answer(*columns)
             end = np.cumsum(size)
             some = np.flatnonzero(np.add.reduceat(yes, end - size, dtype=np.int64))

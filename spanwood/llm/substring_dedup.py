@@ -8,7 +8,8 @@ symbol whose context it contains, or, if there is none, under the next lower lev
 this depends on the window's words alone, so equal windows are filed under equal symbols.
 
 Two rounds over all blocks follow (see `exchange`): which symbols occur more than once, and, for windows filed
-under those only, whether an equal window starts earlier. Windows are compared by 64-bit fingerprints of their words.
+under those only, whether an equal window starts earlier. Windows are compared by 64-bit fingerprints of their words
+and dealt by these, not by their symbols: one frequent symbol can have a hundredth of all windows, whatever the input.
 
 A window is WINDOW consecutive words ``[^\\x20\\x09-\\x0D]+`` of one document. Words covered by a window that
 also starts earlier (smaller id, or same document and earlier start) are removed; the others are joined by one space.
@@ -140,6 +141,17 @@ def _shard(names: np.ndarray, n: int) -> np.ndarray:
     return (names >> U(34)) % U(n)
 
 
+def _started_before(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which windows have an equal one of a smaller id, or of the same id and further up. Sorted by ranges of the hashes, so that no order of all is held."""
+    out = np.zeros(len(hashes), bool)
+    part = (hashes >> U(60)).astype(np.uint8)
+    for i in range(16):
+        own = np.flatnonzero(part == i)
+        own = own[np.lexsort((ids[own], hashes[own]))]  # stable: of equal ids the lower block's comes first
+        out[own[1:]] = hashes[own[1:]] == hashes[own[:-1]]
+    return out
+
+
 def drop_repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the kept words in place of `text`, and the columns n_words and n_removed (before any of those names in df)."""
     carry = [c for c in df.columns if c not in (text, "n_words", "n_removed")]
@@ -162,20 +174,14 @@ def drop_repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text"
 
     def send_windows(block: Block):
         w, _, first, _ = candidates(block)
-        yield from sent(block.number, _shard(w.filed[first], n), n, w.hash[first], w.ids[w.doc[first]])
-
-    def started_before(hashes, ids):
-        order = np.lexsort((ids, hashes))  # stable: of equal ids the lower block's comes first
-        out = np.zeros(len(order), bool)
-        out[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
-        return out
+        yield from sent(block.number, _shard(w.hash[first], n), n, w.hash[first], w.ids[w.doc[first]])
 
-    earlier = ask(with_answers(table, shared=told), send_windows, started_before, ["u8", "i8"], n)
+    earlier = ask(with_answers(table, shared=told), send_windows, _started_before, ["u8", "i8"], n)
 
     def rebuild(batches):
         for block in rows_of(batches):
             w, own, first, place = candidates(block)
-            again = bits_of(block.told["told_earlier"], _shard(w.filed[first], n), n)[place] | (own != first[place])
+            again = bits_of(block.told["told_earlier"], _shard(w.hash[first], n), n)[place] | (own != first[place])
             gone = w.start[own[again]]
             depth = np.zeros(w.n_words + WINDOW + 1, np.int64)
             depth[gone] += 1

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -513,6 +514,60 @@ def test_substring_dedup_of_periodic_texts(spark):
     assert got == without_repeats(texts)
 
 
+def test_windows_under_one_symbol_are_dealt_over_all_shards(spark, monkeypatch):
+    r, loads = random.Random(5), []
+
+    def ask(table, send, answer, kinds, n):
+        load = np.zeros(n, int)
+        for block in exchange.rows_of(table.toArrow().to_batches()):
+            for b in send(block):
+                load[b.column("shard").to_numpy()] += [len(x) // np.dtype(kinds[0]).itemsize for x in b.column("c0").to_pylist()]
+        loads.append(load)
+        return exchange.ask(table, send, answer, kinds, n)
+
+    monkeypatch.setattr(substring_dedup, "ask", ask)
+    other = lambda: [f"w{r.randrange(1 << 40)}" for _ in range(30)]
+    texts = [(i, " ".join([*other(), *"one phrase that every text has in it somewhere".split(), *other()])) for i in range(400)]
+    out = substring_dedup.drop_repeated_windows(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {x.doc_id: (x.n_words, x.n_removed, x.text) for x in out.collect()} == without_repeats(texts)
+    asked = loads[1]
+    assert asked.sum() > 3000
+    assert asked.max() < 4 * asked.mean()
+
+
+def test_windows_are_compared_in_little_memory():
+    r = np.random.default_rng(8)
+    n = 1 << 18
+    hashes, ids = words.mix(r.integers(0, n // 2, n).astype(np.uint64)), r.integers(0, 50, n)
+    seen, want = set(), np.zeros(n, bool)
+    for i in np.argsort(ids, kind="stable").tolist():
+        want[i] = int(hashes[i]) in seen
+        seen.add(int(hashes[i]))
+    tracemalloc.start()
+    got = substring_dedup._started_before(hashes, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all()
+    assert peak < 16 * n  # no more than the windows themselves
+
+
+def test_a_shards_slices_are_not_held():
+    slices = lambda: (pa.record_batch({"block": pa.array([i]), "c0": pa.array([bytes([i]) * (1 << 20)], pa.binary())}) for i in range(32))
+    before = pa.total_allocated_bytes()
+    held = []
+
+    def watched():
+        for x in slices():
+            held.append(pa.total_allocated_bytes() - before)
+            yield x
+            del x
+
+    number, size, (data,) = exchange._gathered(watched(), ["c0"], ["u1"])
+    assert number.tolist() == list(range(32)) and size.tolist() == [1 << 20] * 32
+    assert (data.reshape(32, -1) == np.arange(32, dtype=np.uint8)[:, None]).all()
+    assert max(held) < 8 << 20
+
+
 def test_symbols_depend_on_their_context_only():
     r = np.random.default_rng(3)
     names = words.mix(np.arange(6, dtype=np.uint64))
