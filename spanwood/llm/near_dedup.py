@@ -142,18 +142,25 @@ def _components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _with_list(posted: DataFrame, lists: DataFrame, count: str, total: int) -> DataFrame:
-    """posted (node, pair, ...) joined with its pair's row in lists, a written table with a row a pair and its `count`.
+def _slice(total: int):
+    """Which slice of its lists a node falls to; a table of no more than SPREAD postings in all has one slice."""
+    return F.pmod(F.xxhash64("node"), F.lit(SLICES if total > SPREAD else 1)).cast("int")
 
-    A list of more than one in SPREAD of all `total` postings is dealt by slices of its nodes, so that no task gets it
-    whole. There are fewer than SPREAD such lists, whatever the input, which bounds what is broadcast.
+
+def _slices(total: int):
+    """The slices that a list's nodes fall to, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _slice(total))).alias("slices")
+
+
+def _with_list(posted: DataFrame, lists: DataFrame, total: int) -> DataFrame:
+    """posted (node, pair, ...) joined with its pair's row in lists, a written table with a row a pair and its _slices.
+
+    Every list is dealt by slices of its nodes, so that no task gets a long one whole, and goes to those slices only
+    that it has a node in: to no more rows than it has postings.
     """
-    long = F.col(count) * F.lit(SPREAD) > F.lit(total)
-    told = lists.where(long).select("pair", F.lit(SLICES).alias("slices"))
-    slice_of = F.when(F.col("slices").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "slices")).cast("int")
-    dealt = posted.join(F.broadcast(told), "pair", "left").withColumn("slice", slice_of).drop("slices")
-    slices = F.when(long, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(lists.withColumn("slice", F.explode(slices)).hint("merge"), ["pair", "slice"]).drop("slice")
+    held = F.filter(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.getbit("slices", i) == 1)
+    told = lists.withColumn("slice", F.explode(held)).drop("slices")
+    return posted.withColumn("slice", _slice(total)).join(told.hint("merge"), ["pair", "slice"]).drop("slice")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -171,8 +178,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
     posted = node.select("node", F.posexplode("sig").alias("coordinate", "value"))
     posted = posted.select("node", (F.shiftleft(F.col("coordinate").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF))).alias("pair"))
-    shared = written(posted.groupBy("pair").agg(F.count("*").alias("freq")).where("freq > 1"), "lists")
-    held = _with_list(posted, shared, "freq", node.count() * COORDINATES).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "pair"))).alias("held"))
+    total = node.count() * COORDINATES
+    shared = written(posted.groupBy("pair").agg(F.count("*").alias("freq"), _slices(total)).where("freq > 1"), "lists")
+    held = _with_list(posted, shared, total).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "pair"))).alias("held"))
     prefix = held.where(F.size("held") >= matches).select("node", F.explode(F.slice("held", F.lit(1), F.size("held") - matches + 1)).alias("x")).select("node", F.col("x.pair").alias("pair"))
     prefix = written(prefix, "prefix")
 
@@ -192,10 +200,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         most = F.least(c1, c2)
         return F.lit(100) * most >= least * (n1 + n2 - most)
 
-    first = member.groupBy("pair").agg(F.min(F.struct("alone", "node", "n", "common")).alias("x"), F.count("*").alias("members")).where("members > 1")
-    first = written(first.select("pair", "members", F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("x.common").alias("ca")), "lists")
     postings = member.count()
-    star = _with_list(member, first, "members", postings).where((F.col("node") != F.col("a")) & possible(F.col("n"), F.col("common"), F.col("na"), F.col("ca")))
+    first = member.groupBy("pair").agg(F.min(F.struct("alone", "node", "n", "common")).alias("x"), F.count("*").alias("members"), _slices(postings)).where("members > 1")
+    first = written(first.select("pair", "slices", F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("x.common").alias("ca")), "lists")
+    star = _with_list(member, first, postings).where((F.col("node") != F.col("a")) & possible(F.col("n"), F.col("common"), F.col("na"), F.col("ca")))
     stars = star.select("a", F.col("node").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -211,9 +219,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     labels = _components(links)
     # lists that hold several components hang together in clusters, within which all sets are compared in blocks
     member = written(member.join(labels.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"), "members")
-    mixed = member.groupBy("pair").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("a"), F.count("*").alias("members"))
-    mixed = written(mixed.where("low != high").select("pair", "a", "members"), "lists")
-    listed = written(_with_list(member, mixed, "members", postings).select("node", "n", "part", "a"), "listed")
+    mixed = member.groupBy("pair").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("a"), _slices(postings))
+    mixed = written(mixed.where("low != high").select("pair", "a", "slices"), "lists")
+    listed = written(_with_list(member, mixed, postings).select("node", "n", "part", "a"), "listed")
     clusters = _components(listed.where("a != node").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "cluster")
     people = listed.select("node", "n", "part").distinct().join(clusters.hint("merge"), "node")
     people = people.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))  # similar sets are one class apart at most

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spanwood.llm import decontaminate, exchange, grammar, line_dedup, media, near_dedup, packing, quality, queries, secrets, substring_dedup, tokens, url_filter, words
@@ -314,6 +315,18 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert got == components(rows, 85)
 
 
+def test_long_lists_are_dealt_like_short_ones(spark):
+    posted = [(n, n % 7) for n in range(200)] + [(n, 100) for n in range(200)] + [(n, 200 + n) for n in range(200)]
+    lists = {p: sum(x == p for _, x in posted) for _, p in posted}
+    posted = spark.createDataFrame(posted, "node long, pair long").repartition(3).cache()
+    told = posted.groupBy("pair").agg(F.count("*").alias("freq"), near_dedup._slices(10000)).where("freq > 1")
+    out = near_dedup._with_list(posted, told, 10000)
+    assert sorted((x.node, x.pair, x.freq) for x in out.collect()) == sorted((n, p, lists[p]) for n, p in posted.collect() if lists[p] > 1)
+    assert all(1 < bin(x.slices & (1 << 64) - 1).count("1") <= min(x.freq, near_dedup.SLICES) for x in told.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" not in plan and "Broadcast" not in plan  # the postings are joined once only, whatever lists there are
+
+
 def test_near_duplicates_of_odd_rows(spark, empty):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(5, text), (5, text), (3, text + " x"), (None, text), (7, None), (7, "")], "doc_id long, text string")
