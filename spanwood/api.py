@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from .functions import columns
-from .operators import navigate, sinks
+from .operators import bodies, navigate, sinks
 from .plans.compile import select
 from .sources import files, tables
 from .types import DOCUMENT, NODES
@@ -14,8 +14,9 @@ from .types import DOCUMENT, NODES
 class Forest:
     """Documents of nodes. Every operator works within a document, so a table partitioned by doc_id needs no shuffle."""
 
-    def __init__(self, nodes: DataFrame, kinds: dict[str, set[str]] | None = None):
-        self.nodes, self.kinds = nodes, kinds or {}
+    def __init__(self, nodes: DataFrame, kinds: dict[str, set[str]] | None = None, tree: tables.Tree | None = None):
+        """`tree`: the tables that the nodes are of, if they are; whole documents are then written from these."""
+        self.nodes, self.kinds, self.tree = nodes, kinds or {}, tree if bodies.writable(tree) else None
 
     @classmethod
     def read(cls, spark: SparkSession, path: str | list[str], form: str = "auto", **options) -> "Forest":
@@ -27,7 +28,7 @@ class Forest:
 
     @classmethod
     def of_table(cls, name: str, table: DataFrame, key, fields: list[tables.Field], rows: tables.Rows | None = None) -> "Forest":
-        return cls(tables.tree_of(name, table, key, fields, rows), tables.kinds_of(name, fields, rows))
+        return cls(tables.tree_of(name, table, key, fields, rows), tables.kinds_of(name, fields, rows), tables.Tree(name, table, key, fields, rows))
 
     def path(self, path: str, strict_less: bool = False) -> DataFrame:
         """The nodes that a path finds, with their order in `seq`."""
@@ -57,16 +58,16 @@ class Forest:
         return Forest(out.select(*(shift.get(c, F.col(c)) for c in self.nodes.columns)))
 
     def to_text(self) -> DataFrame:
-        return sinks.to_text(self.nodes)
+        return bodies.written(self.tree, "text") if self.tree else sinks.to_text(self.nodes)
 
     def to_binary(self) -> DataFrame:
-        return sinks.to_binary(self.nodes)
+        return bodies.written(self.tree, "binary") if self.tree else sinks.to_binary(self.nodes)
 
     def to_hex(self) -> DataFrame:
-        return sinks.to_hex(self.nodes)
+        return sinks.hex_of(self.to_binary())
 
     def to_xml(self, namespace: str = "") -> DataFrame:
-        return sinks.to_xml(self.nodes, namespace)
+        return bodies.written(self.tree, "xml", sinks.xml_head(namespace)) if self.tree else sinks.to_xml(self.nodes, namespace)
 
     def to_debug(self) -> DataFrame:
         return sinks.to_debug(self.nodes)

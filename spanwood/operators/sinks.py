@@ -63,8 +63,12 @@ def to_binary(nodes: DataFrame) -> DataFrame:
     return _joined(parts, "body", "").withColumn("body", F.unhex("body"))
 
 
+def hex_of(binary: DataFrame) -> DataFrame:
+    return binary.withColumn("body", F.concat(F.lit("0x"), F.hex("body")))
+
+
 def to_hex(nodes: DataFrame) -> DataFrame:
-    return to_binary(nodes).withColumn("body", F.concat(F.lit("0x"), F.hex("body")))
+    return hex_of(to_binary(nodes))
 
 
 def to_debug(nodes: DataFrame) -> DataFrame:
@@ -82,6 +86,10 @@ def _xml(s: Column) -> Column:
     return F.regexp_replace(s, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "�")
 
 
+def xml_head(namespace: str = "") -> str:
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<containerxml version="1"{f" xmlns={chr(34)}{namespace}{chr(34)}" if namespace else ""}>\n'
+
+
 def to_xml(nodes: DataFrame, namespace: str = "") -> DataFrame:
     """A document in the container form of XML; values stand undelimited, as attributes."""
     value = F.when(F.col("type").rlike("STR$|^IPAD$|^FC32$"), F.col("s")).otherwise(F.expr("substr(text, length(name) + 7)"))
@@ -90,8 +98,7 @@ def to_xml(nodes: DataFrame, namespace: str = "") -> DataFrame:
     atom = F.concat(indent, F.lit("<atom"), name, F.lit(' type="'), F.col("type"), F.lit('" value="'), _xml(value), F.lit('"></atom>'))
     opened = F.when(F.col("type") == "CONT", F.concat(indent, F.lit("<container"), name, F.lit(">"))).otherwise(atom)
     body = _joined(_lines(nodes, opened, F.concat(indent, F.lit("</container>"))), "body", LINE)
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<containerxml version="1"{f" xmlns={chr(34)}{namespace}{chr(34)}" if namespace else ""}>\n'
-    return body.withColumn("body", F.concat(F.lit(head), "body", F.lit("\n</containerxml>\n")))
+    return body.withColumn("body", F.concat(F.lit(xml_head(namespace)), "body", F.lit("\n</containerxml>\n")))
 
 
 def write_text(df: DataFrame, path: str, overwrite: bool = False) -> None:

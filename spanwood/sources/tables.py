@@ -33,6 +33,17 @@ class Rows:
     fields: list[Field] = field(default_factory=list)
 
 
+@dataclass
+class Tree:
+    """One document for each row of table."""
+
+    name: str
+    table: DataFrame
+    key: Column
+    fields: list[Field]
+    rows: Rows | None = None
+
+
 def _node(df: DataFrame, name: str, code: str, value: Column | None, node_id: Column, parent: Column | None, place: Column, path: list[str], last: Column, n_children: Column) -> DataFrame:
     """One branch. df has the column doc_id."""
     kind = TYPES[code].kind
