@@ -75,6 +75,9 @@ class Forest:
     def lengths(self) -> DataFrame:
         return sinks.encoded_lengths(self.nodes)
 
+    def document_lengths(self) -> DataFrame:
+        return bodies.lengths(self.tree) if self.tree else sinks.document_lengths(self.nodes)
+
 
 def _within(order: str):
     return Window.partitionBy(*DOCUMENT).orderBy(order)

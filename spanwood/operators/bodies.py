@@ -271,15 +271,45 @@ def _concat(parts: list[tuple]) -> tuple:
     return pa.concat_arrays([k for k, _, _ in parts]), np.concatenate([x for _, x, _ in parts]), pa.concat_arrays([p for _, _, p in parts])
 
 
+def _keyed(tree: Tree):
+    """The column `key` of a key; a string, unless both tables have keys of one plain type."""
+    kinds = {str(t.select(k).schema[0].dataType) for t, k in ((tree.table, tree.key), (tree.rows.table, tree.rows.key))}
+    plain = len(kinds) == 1 and kinds <= {str(t()) for t in (*_INTEGERS, T.StringType)}
+    return lambda k: (k if plain else k.cast("string")).alias("key")
+
+
+def _row_length(table: DataFrame, fields: list[Field]) -> Column:
+    """Bytes of a row's container in the binary form, with the checks that writing it makes."""
+    out = F.lit(12).cast("long")
+    for f in fields:
+        v, width, error = f.value.cast(_cast(table, f)), TYPES[f.type].width, F.lit(True)
+        if f.type == "FP64":
+            v = F.nanvl(v, F.lit(None).cast("double"))
+            error = F.abs(v) == float("inf")
+        elif width is not None:
+            error = ~v.between(-(1 << 8 * width - 1), min((1 << 8 * width) - 1, (1 << 63) - 1)) if width < 8 else F.lit(False)
+        size = F.octet_length(v) + 13 if width is None else F.when(error, F.raise_error(F.concat(F.lit(f"value exceeds range of type {f.type}: "), v.cast("string"))).cast("int")).otherwise(12 + width)
+        out = out + F.when(v.isNull(), 0).otherwise(size)
+    return out
+
+
+def lengths(tree: Tree) -> DataFrame:
+    """(doc_id, root_ord, length) of whole documents: child rows' lengths are summed by document, and nothing is written."""
+    own = _row_length(tree.table, tree.fields).alias("length")
+    if not tree.rows:
+        return tree.table.select(tree.key.cast("string").alias("doc_id"), F.lit(0).alias("root_ord"), own)
+    rows, key = tree.rows, _keyed(tree)
+    sums = rows.table.where(rows.key.isNotNull()).select(key(rows.key), _row_length(rows.table, rows.fields).alias("more")).groupBy("key").agg(F.sum("more").alias("more"))
+    out = tree.table.select(key(tree.key), own).join(sums, "key", "left")
+    return out.select(F.col("key").cast("string").alias("doc_id"), F.lit(0).alias("root_ord"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"))
+
+
 def sorted_rows(tree: Tree) -> DataFrame:
     """(key, line, t0 ..., r0 ...): each document's own row, then its child rows in order, within one partition."""
     own: list[Column] = [f.value.alias(f"t{i}") for i, f in enumerate(tree.fields)]
     if not tree.rows:
         return tree.table.select(tree.key.alias("key"), F.lit(False).alias("line"), *own)
-    rows = tree.rows
-    kinds = {str(t.select(k).schema[0].dataType) for t, k in ((tree.table, tree.key), (rows.table, rows.key))}
-    plain = len(kinds) == 1 and kinds <= {str(t()) for t in (*_INTEGERS, T.StringType)}
-    key = lambda k: (k if plain else k.cast("string")).alias("key")
+    rows, key = tree.rows, _keyed(tree)
     values = {str(f.value): f"r{i}" for i, f in enumerate(rows.fields)}
     order = [F.col(o) if isinstance(o, str) else o for o in rows.order]
     by = [values.get(str(o), f"o{i}") for i, o in enumerate(order)]

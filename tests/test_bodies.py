@@ -127,3 +127,24 @@ def test_plain_documents_are_scanned(spark):
 def test_round_trips_shuffle_rows_once(spark, sf_dir, form):
     plan = QUERIES[f"{form}_roundtrip"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_lengths_are_those_of_what_is_written(spark):
+    f = forest(spark)
+    want = {(r.doc_id, len(r.body)) for r in f.to_binary().collect()}
+    assert {(r.doc_id, r.length) for r in f.document_lengths().collect()} == want
+    assert {(r.doc_id, r.length) for r in Forest(forest(spark, null=0).nodes).document_lengths().collect()} == {(r.doc_id, len(r.body)) for r in forest(spark, null=0).to_binary().collect()}
+    twice = forest(spark, (5, 5, 6), [(5, 1, "a", 1, 1.0), (99, 1, "c", 3, 3.0), (None, 1, "d", 4, 4.0)])
+    assert sorted((r.doc_id, r.length) for r in twice.document_lengths().collect()) == sorted((r.doc_id, len(r.body)) for r in twice.to_binary().collect())
+
+
+def test_lengths_check_values_as_writing_does(spark):
+    tops = spark.createDataFrame([(1, 1 << 32, math.inf)], "k long, n long, f double")
+    for field in (Field("NUMB", "UI32", F.col("n")), Field("FLOT", "FP64", F.col("f"))):
+        with pytest.raises(Exception, match="exceeds range"):
+            Forest.of_table("PART", tops, F.col("k"), [field]).document_lengths().collect()
+
+
+def test_lengths_need_no_nodes(spark, sf_dir):
+    plan = QUERIES["marshal_len"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2 and "Window" not in plan and "Python" not in plan
