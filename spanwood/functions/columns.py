@@ -1,7 +1,7 @@
 """Decoders and encoders as Spark columns, and Arrow functions for what Spark's own functions can't express.
 
-Integers, fixed-point numbers, floats' bits, fractions, addresses, UUIDs and UTF-8 strings stay within code generation;
-the exact decimal form of floats, UTF-32 and damaged UTF-8 use Arrow batches.
+Integers, fixed-point numbers, floats' bits, fractions, addresses, UUIDs, UTF-8 and UTF-32 strings stay within Spark's own
+functions; the exact decimal form of floats and damaged UTF-8 use Arrow batches.
 """
 
 import pandas as pd
@@ -132,14 +132,27 @@ def float_data(code: pd.Series, value: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else codec.encode_value(c, float(v)) for c, v in zip(code, value)])
 
 
-@pandas_udf(T.BinaryType())
-def wide_string(s: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else x.encode("utf-32-be") for x in s])
+def wide_string(s: Column) -> Column:
+    return F.encode(s, "UTF-32")  # big-endian, without a mark
 
 
-@pandas_udf(T.StringType())
-def wide_string_value(data: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else codec.decode("USTR", bytes(d)).s for d in data])
+_WIDE = "^(?:0000(?:[0-9A-CEF][0-9A-F]{3}|D[0-7][0-9A-F]{2})|00(?:0[1-9A-F]|10)[0-9A-F]{4})*+$"  # code points that are characters
+
+
+def wide_string_value(data: Column) -> Column:
+    """The string of UTF-32 data; what is no character shows as its number. Row by row, so long strings in many rows need no memory together."""
+    mark = F.lit(b"\0\0\xfe\xff")  # is dropped, and keeps another one at the start as a character
+    decoded = F.decode(F.concat(mark, data), "UTF-32")
+    bits = F.hex(data)
+
+    def shown(k: Column) -> Column:
+        own = F.substring(data, k * 4 + 1, F.lit(4))
+        return F.when(F.hex(own).rlike(_WIDE), F.decode(F.concat(mark, own), "UTF-32")).otherwise(F.concat(F.lit("\\x"), F.ltrim(F.hex(own), F.lit("0"))))
+
+    each = F.array_join(F.transform(F.sequence(F.lit(0), (F.octet_length(data) / 4).cast("int") - 1), shown), "")
+    size = F.octet_length(data)
+    wrong = F.raise_error(F.concat(F.lit("invalid byte count for type USTR: want a multiple of 4, got "), size.cast("string"))).cast("string")
+    return F.when(size % 4 != 0, wrong).when(bits.rlike(_WIDE), decoded).otherwise(each)
 
 
 def escaped(s: Column) -> Column:
